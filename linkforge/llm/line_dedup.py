@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import text_or_empty
+from linkforge.llm.common import small_batches, text_or_empty
 
 WINDOW = 3
 #: A line of these alone is blank.
@@ -48,7 +48,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "mark", "first", "last", "h1", "h2"])
 
-    return docs.mapInArrow(run, "id long, mark long, first int, last int, h1 long, h2 long")
+    return small_batches(docs).mapInArrow(run, "id long, mark long, first int, last int, h1 long, h2 long")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:

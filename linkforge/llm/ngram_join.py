@@ -3,11 +3,12 @@
 The document by n-gram incidence is multiplied in blocks. Its columns are dealt into so many blocks
 that two documents over the threshold agree in one of them wholly (``shingles.Blocks``): pairs that
 agree in none are below the bound that their sizes set and get no cell of the product. Equal sets
-are one row of the matrix. Overlap counts are then accumulated for the cells that are left, first of
-each row with the least row of its block (a star: as many cells as rows), which joins most of a
-group of copies. Only rows of a block that are still in different components are multiplied with
-each other, in square tiles with column blocks, where a tile drops the pairs whose count can no
-longer reach the bound.
+are one row of the matrix. For the cells that are left a parity sketch bounds the overlap from above
+and drops most; of the rest overlap counts are accumulated. First come the cells of each row with the
+least row of its block (a star: as many cells as rows), which joins most of a group of copies. Only
+rows of a block that are still in different components are paired with each other: in a small block
+cell by cell, in large ones in square tiles with column blocks, where a tile drops the pairs whose
+count can no longer reach the bound.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; a null doc_id
 links with nothing and has a null component; each repeated row gets its row; extra columns are not read.
@@ -20,35 +21,38 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import cut, join_small, text_or_empty
+from linkforge.llm.common import cut, free, join_small, small_batches, text_or_empty
 from linkforge.llm.graphs import components
-from linkforge.llm.shingles import Blocks, mix, shingle_set
+from linkforge.llm.shingles import Blocks, least_difference, mix, parities, shingle_set
 
-#: Rows of a tile, and rows that may be broadcast.
-TILE, SMALL = 400, 500_000
+#: Rows of a tile, rows of a block up to which it is paired cell by cell, rows that may be broadcast.
+TILE, BLOCK, SMALL = 400, 64, 300_000
 
 
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, f1, f2, keys): set size, 128-bit fingerprint of the set, block signatures."""
+    """(id, n, f1, f2, sketch, keys, budgets): set size, 128-bit fingerprint of the set, parities, block signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(num, den)
         for batch in batches:
-            sizes, prints, keys = [], [[], []], []
+            sizes, prints, sketches, keys, budgets = [], [[], []], [], [], []
             for known, text in zip(batch.column(0).is_valid().to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), width)
                 sizes.append(len(s))
                 for k in (0, 1):
                     prints[k].append(np.int64(mix(s, 4 + k).sum().astype(np.int64)) if len(s) else 0)
-                keys.append(blocks.signatures(s).view(np.int64) if known else np.empty(0, np.int64))
+                sketches.append(parities(s) if len(s) else b"")
+                own, budget = blocks.signatures(s)
+                keys.append(own.view(np.int64) if known else np.empty(0, np.int64))
+                budgets.append(budget)
             ends = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), listed], ["id", "n", "f1", "f2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), pa.array(sketches, pa.binary()), listed, pa.array(budgets, pa.list_(pa.int32()))], ["id", "n", "f1", "f2", "sketch", "keys", "budgets"])
 
-    return docs.mapInArrow(run, "id long, n long, f1 long, f2 long, keys array<long>")
+    return small_batches(docs).mapInArrow(run, "id long, n long, f1 long, f2 long, sketch binary, keys array<long>, budgets array<int>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -57,7 +61,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingle_set(t.as_py(), width).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, grams binary")
+    return small_batches(docs).mapInArrow(run, "id long, grams binary")
 
 
 def linked(overlap, a, b, num: int, den: int):
@@ -114,22 +118,20 @@ def tile_links(sets: list[np.ndarray], groups: np.ndarray, num: int, den: int, c
     return forest
 
 
-def ngram_components(
-    docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, n_shingles, component_id) of every row: shingles of ``width`` words, links at Jaccard ``num / den`` or more."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    signed = cut(_signed(rows, width, num, den))
-    classes = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("cls")))
-    n_classes = classes.count()
-    own = join_small(signed.select("id", "keys"), classes.select(F.col("cls").alias("id")).distinct(), ["id"], "left_semi", n_classes, SMALL)
-    blocks = own.select(F.explode("keys").alias("key"), F.col("id").alias("cls"))
-    met = cut(blocks.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("last"), F.count("*").alias("rows")).where("center < last").drop("last"))
-    cells = cut(join_small(blocks, met, ["key"], "inner", met.count(), SMALL))
+def _sets_of(rows: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, grams) of the documents of ``ids`` (id)."""
+    wanted = cut(ids.distinct())
+    return cut(_sets(join_small(rows, wanted, ["id"], "left_semi", wanted.count(), SMALL), width))
 
-    wanted = cut(cells.select(F.col("cls").alias("id")).distinct())
-    sets = cut(_sets(join_small(rows, wanted, ["id"], "left_semi", wanted.count(), SMALL), width))
-    stars = cells.where("cls <> center").select("cls", "center").distinct()
+
+def verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (u, v) that link: by the bound of sizes and sketches first, then by their overlap counts."""
+    blocks = Blocks(num, den)
+
+    def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [least_difference(a, b) <= blocks.differ(x, y) for a, b, x, y in zip(pdf["a"], pdf["b"], pdf["x"], pdf["y"], strict=True)]
+            yield pdf.loc[np.array(keep, bool), ["u", "v"]]
 
     def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -140,41 +142,35 @@ def ngram_components(
                 keep.append(linked(int((both[1:] == both[:-1]).sum()), len(x), len(y), num, den))
             yield pdf.loc[np.array(keep, bool), ["u", "v"]]
 
-    size = lambda c: F.octet_length(c)
-    star = (
-        stars.join(sets.select(F.col("id").alias("cls"), F.col("grams").alias("a")), "cls")
-        .join(sets.select(F.col("id").alias("center"), F.col("grams").alias("b")), "center")
-        .where(F.least(size("a"), size("b")) * den >= F.greatest(size("a"), size("b")) * num)
-        .select(F.col("cls").alias("u"), F.col("center").alias("v"), "a", "b")
-        .mapInPandas(overlaps, "u long, v long")
+    near = (
+        pairs.join(sketches.select(F.col("id").alias("u"), F.col("n").alias("x"), F.col("sketch").alias("a")), "u")
+        .join(sketches.select(F.col("id").alias("v"), F.col("n").alias("y"), F.col("sketch").alias("b")), "v")
+        .where(F.least("x", "y") * den >= F.greatest("x", "y") * num)
+        .mapInPandas(bounded, "u long, v long")
     )
-    star = cut(star.distinct())
-    joined = cut(components(star))
+    near = cut(near.distinct())
+    sets = _sets_of(rows, near.select(F.explode(F.array("u", "v")).alias("id")), width)
+    exact = near.join(sets.select(F.col("id").alias("u"), F.col("grams").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("grams").alias("b")), "v")
+    return cut(exact.mapInPandas(overlaps, "u long, v long").distinct())
 
-    # Blocks of three rows or more that are not in one component yet.
-    placed = cells.where("rows > 2").join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("component", "cls").alias("part"))
-    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").drop("high")
-    open_cells = cut(placed.join(apart, "key"))
-    clusters = components(open_cells.select(F.col("part").alias("u"), F.col("low").alias("v")))
-    members = cut(open_cells.select("cls", "part").distinct().join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part"))
+
+def _tiled(cells: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links (u, v) between different parts among the rows of large blocks; ``cells``: (key, cls, part, low)."""
+    clusters = components(cells.select(F.col("part").alias("u"), F.col("low").alias("v")))
+    members = cut(cells.select("cls", "part").distinct().join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part"))
     by_part = members.groupBy("cluster", "part").agg(F.count("*").alias("in_part"))
     by_cluster = by_part.groupBy("cluster").agg(F.sum("in_part").alias("in_cluster"))
-    split = members.join(by_part, ["cluster", "part"]).join(by_cluster, "cluster")
-    large = F.col("in_part") > TILE
+    sized = members.join(by_part, ["cluster", "part"]).join(by_cluster, "cluster")
     # A large component is dealt into tiles of its own, which need no product with each other.
-    split = cut(
-        split.select(
-            "cls",
-            "part",
-            "cluster",
-            F.when(large, F.col("part")).alias("whole"),
-            F.when(large, F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_part") / TILE))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("in_cluster") / TILE))).alias("tile"),
-        ).withColumn("tile", F.concat_ws(":", F.coalesce(F.col("whole").cast("string"), F.lit("-")), F.col("tile").cast("string")))
-    )
+    large = F.col("in_part") > TILE
+    own = F.concat_ws(":", F.col("part").cast("string"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_part") / TILE)).cast("string"))
+    mixed = F.concat_ws(":", F.lit("-"), F.pmod(F.xxhash64("part"), F.ceil(F.col("in_cluster") / TILE)).cast("string"))
+    split = cut(sized.select("cls", "part", "cluster", F.when(large, F.col("part")).alias("whole"), F.when(large, own).otherwise(mixed).alias("tile")))
     tiles = split.select("cluster", "tile", "whole").distinct()
     left, right = (tiles.select("cluster", F.col("tile").alias(f"t{k}"), F.col("whole").alias(f"w{k}")) for k in "ab")
     grid = left.join(right, "cluster").where("ta <= tb and not coalesce(wa = wb, false)").select("cluster", "ta", "tb")
     grid = grid.select("cluster", "ta", "tb", F.explode(F.array_distinct(F.array("ta", "tb"))).alias("tile"))
+    sets = _sets_of(rows, split.select(F.col("cls").alias("id")), width)
     work = split.select("cls", "part", "cluster", "tile").join(grid, ["cluster", "tile"]).join(sets.withColumnRenamed("id", "cls"), "cls")
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -182,11 +178,50 @@ def ngram_components(
         ids = pdf["cls"].to_numpy()
         return pd.DataFrame([(ids[a], ids[b]) for a, b in found], columns=["u", "v"]).astype("int64")
 
-    more = work.select("cluster", "ta", "tb", "cls", "part", "grams").groupBy("cluster", "ta", "tb").applyInPandas(tile, "u long, v long")
-    more = cut(more)
-    if more.isEmpty():
-        final = joined
-    else:
+    return work.select("cluster", "ta", "tb", "cls", "part", "grams").groupBy("cluster", "ta", "tb").applyInPandas(tile, "u long, v long")
+
+
+def ngram_components(
+    docs: DataFrame, width: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n_shingles, component_id) of every row: shingles of ``width`` words, links at Jaccard ``num / den`` or more."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
+    signed = cut(_signed(rows, width, num, den))
+    classes = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("cls")))
+    own = join_small(signed.select("id", "keys"), classes.select(F.col("cls").alias("id")).distinct(), ["id"], "left_semi", classes.count(), SMALL)
+    blocks = own.select(F.explode("keys").alias("key"), F.col("id").alias("cls"))
+    met = cut(blocks.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("held")).where("low < high").select("key", "held"))
+    free(spark)
+    cells = cut(join_small(blocks, met, ["key"], "inner", met.count(), SMALL))
+    free(spark)
+    # Each row leaves out as many of the blocks that most rows hold as its budget allows.
+    budgets = signed.where("size(budgets) > 0").select(F.col("id").alias("cls"), F.explode("budgets").alias("b")).groupBy("cls", (F.col("b") % 64).alias("tag")).agg(F.min(F.floor(F.col("b") / 64)).alias("budget"))
+    tagged = cells.withColumn("tag", F.col("key").bitwiseAND(Blocks.TAG).cast("int")).join(budgets, ["cls", "tag"], "left")
+    nth = F.row_number().over(Window.partitionBy("cls", "tag").orderBy(F.desc("held"), "key"))
+    kept = tagged.withColumn("nth", nth).where("nth > coalesce(budget, 0)").select("key", "cls")
+    center = kept.groupBy("key").agg(F.min("cls").alias("center"), F.max("cls").alias("high"), F.count("*").alias("held")).where("center < high").drop("high")
+    cells = cut(kept.join(center, "key"))
+    free(spark)
+    sketches = signed.select("id", "n", "sketch")
+    stars = cells.where("cls <> center").select(F.col("cls").alias("u"), F.col("center").alias("v")).distinct()
+    star = verified(stars, rows, sketches, width, num, den)
+    joined = cut(components(star))
+
+    # Blocks of three rows or more that are not in one component yet.
+    placed = cells.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "held", F.coalesce("component", "cls").alias("part"))
+    apart = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max("held").alias("held")).where("low < high and held > 2").select("key", "low")
+    open_cells = cut(placed.join(apart, "key"))
+    free(spark)
+    small = open_cells.where(F.col("held") <= BLOCK)
+    other = small.select("key", F.col("cls").alias("v"), F.col("part").alias("of"))
+    pairs = small.join(other, "key").where("cls < v and part <> of").select(F.col("cls").alias("u"), "v").distinct()
+    more = verified(pairs, rows, sketches, width, num, den)
+    wide = open_cells.where(F.col("held") > BLOCK)
+    if not wide.isEmpty():
+        more = cut(more.union(_tiled(wide, rows, width, num, den)))
+    final = joined
+    if not more.isEmpty():
         final = cut(components(joined.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)))
     named = classes.join(final.withColumnRenamed("node", "cls"), "cls", "left").select("f1", "f2", "n", F.coalesce("component", "cls").alias("component_id"))
     return (

@@ -9,7 +9,7 @@ U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 _ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-WORD_ENTRIES = 500_000
+WORD_ENTRIES = 150_000
 
 
 class WordHashes(dict):
@@ -56,18 +56,46 @@ def shingle_set(text: str, width: int) -> np.ndarray:
         return np.unique(mix(value))
 
 
+def parities(columns: np.ndarray) -> bytes:
+    """A bit for each of 2^k >= len places: whether an odd number of columns fall there."""
+    n = len(columns)
+    bits = 1 << max(6, (n - 1).bit_length())
+    place = (mix(columns, 9) & U(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(place, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+_ONES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(1).astype(np.int64)
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the columns in which two sets differ, from their parities."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(_ONES[x ^ y].sum())
+
+
 class Blocks:
     """Signatures of the blocks of n-gram columns of a set, so that near sets share one.
 
     Sets of sizes a <= b link when ``den * intersection >= num * union``. Then they differ in at most
-    floor((a + b) * (den - num) / (den + num)) columns. Columns are dealt into one block more than
-    that, so two linked sets agree in one block at least. The number of blocks goes by classes of the
-    smaller size (tags); a set near a class's lower end signs for the class below too. Empty blocks
-    would agree by chance: they sign nothing, and instead the first 2 * (empty blocks) blocks sign
-    each set of their columns less one. That is enough: if two linked sets agree in u blocks, all of
-    them empty, at most u - 1 others differ by more than one column.
+    d = floor((a + b) * (den - num) / (den + num)) columns. Columns are dealt into d + 1 + s blocks,
+    so two linked sets agree in 1 + s blocks at least. The number of blocks goes by classes of the
+    smaller size (tags); a set near a class's lower end signs for the class below too.
+
+    So each set may leave out any s blocks that come last in an order of blocks by content: of the
+    blocks in which two linked sets agree, the first in that order is left out by neither. Empty
+    blocks, which agree by chance, come last and sign nothing; what is left of s, the budget, goes to
+    the blocks that most sets hold. A set with m > s empty blocks also signs, in its first 2 * m
+    blocks, each set of columns less one: if linked sets agree in u blocks, all of them empty, at most
+    u - s - 1 of the others differ by more than one column.
     """
 
+    #: Low bits of a signature: its tag.
+    TAG = 63
+
     def __init__(self, num: int, den: int):
         self.num, self.den, self.starts = num, den, [1]
 
@@ -75,37 +103,51 @@ class Blocks:
         """The largest set that can link with one of this size."""
         return size * self.den // self.num
 
-    def tags(self, size: int) -> list[tuple[int, int]]:
-        """(tag, number of blocks) for which a set of this size signs."""
+    def differ(self, a: int, b: int) -> int:
+        """The most columns in which linked sets of these sizes differ."""
+        return (a + b) * (self.den - self.num) // (self.den + self.num)
+
+    def tags(self, size: int) -> list[tuple[int, int, int]]:
+        """(tag, number of blocks, spare blocks) for which a set of this size signs."""
         while self.starts[-1] <= size:
             s = self.starts[-1]
-            self.starts.append(max(s + 1, s * 4 // 3))
+            self.starts.append(max(s + 1, s * 3 // 2))
         own = int(np.searchsorted(self.starts, size, "right")) - 1
         out = []
         for tag in range(own, -1, -1):
             last = self.starts[tag + 1] - 1
             if tag < own and self.largest(last) < size:
                 break
-            out.append((tag, (last + self.largest(last)) * (self.den - self.num) // (self.den + self.num) + 1))
+            need = self.differ(last, self.largest(last)) + 1
+            empty = need * np.exp(-self.starts[tag] / need)
+            spare = int(np.ceil(empty + 2 * np.sqrt(empty) + 0.12 * need)) if need > 1 else 0
+            out.append((tag, need + spare, spare))
         return out
 
-    def signatures(self, columns: np.ndarray) -> np.ndarray:
+    def signatures(self, columns: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """(signatures, budgets): as many blocks with the tag budget % 64 as budget // 64 may be left out."""
         n = len(columns)
         if not n:
-            return np.empty(0, U)
-        out, value = [], mix(columns, 1)
+            return np.empty(0, U), []
+        out, budgets, value = [], [], mix(columns, 1)
+
+        def tagged(sums: np.ndarray, block: np.ndarray, tag: int, salt: int) -> np.ndarray:
+            return mix(sums + U(tag + 1) * _ODD[1] + block * _ODD[0], salt) & ~U(self.TAG) | U(tag & self.TAG)
+
         with np.errstate(over="ignore"):
-            for tag, blocks in self.tags(n):
+            for tag, blocks, spare in self.tags(n):
                 block = (columns % U(blocks)).astype(np.int64)
                 order = np.argsort(block, kind="stable")
                 block = block[order]
                 first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
                 sums, held = np.add.reduceat(value[order], first), block[first]
-                out.append(mix(sums + U(tag + 1) * _ODD[1] + held.astype(U) * _ODD[0], 2))
+                out.append(tagged(sums, held.astype(U), tag, 2))
                 empty = blocks - len(held)
-                if empty:
+                if empty < spare:
+                    budgets.append((spare - empty) * 64 + (tag & self.TAG))
+                if empty > spare:
                     for j in np.flatnonzero(held < 2 * empty):
                         own = value[order][block == held[j]]
                         less = np.r_[sums[j : j + 1], (sums[j] - own) if len(own) > 1 else own[:0]]
-                        out.append(mix(less + U(tag + 1) * _ODD[1] + U(held[j]) * _ODD[0], 3))
-        return np.concatenate(out)
+                        out.append(tagged(less, U(held[j]), tag, 3))
+        return np.concatenate(out), budgets

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm import bpe
-from linkforge.llm.common import text_or_empty
+from linkforge.llm.common import small_batches, text_or_empty
 
 CACHE_ENTRIES = 300_000
 _caches: dict[str, dict[str, int]] = {}
@@ -92,4 +92,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import cut, text_or_empty
+from linkforge.llm.common import cut, small_batches, text_or_empty
 
 #: Sets of identity terms that may stand for each other.
 IDENTITY = (
@@ -106,7 +106,7 @@ def _worded(docs: DataFrame) -> DataFrame:
             lists = pa.array([sorted(words_of(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "label", "words"])
 
-    return docs.mapInArrow(run, "id long, label int, words array<string>")
+    return small_batches(docs).mapInArrow(run, "id long, label int, words array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, penalty: float = 5.0) -> Model:
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return small_batches(rows).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -159,4 +159,4 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, id_col:
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

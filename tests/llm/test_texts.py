@@ -224,6 +224,7 @@ def test_ngram_components(spark, width, num, den):
 def test_tiles_of_a_large_group(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 8)
     monkeypatch.setattr(ngram_join, "SMALL", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     r = random.Random(1)
     base = [f"w{r.randrange(400)}" for _ in range(150)]
     texts = []
@@ -246,7 +247,10 @@ def test_blocks_share_a_signature():
             drop, add = r.integers(0, 6, 2)
             b = np.unique(np.concatenate((r.permutation(a)[: max(0, len(a) - drop)], r.integers(0, 2**63, add).astype(np.uint64))))
             if len(b) and den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
-                assert np.intersect1d(blocks.signatures(a), blocks.signatures(b)).size
+                both = np.intersect1d(blocks.signatures(a)[0], blocks.signatures(b)[0])
+                spare = min((t[2] for t in blocks.tags(len(a)) if t in blocks.tags(len(b))))
+                assert len(both) > min(spare, *(x // 64 for s in (a, b) for x in blocks.signatures(s)[1] or [0]))
+                assert shingles.least_difference(shingles.parities(a), shingles.parities(b)) <= len(np.setxor1d(a, b)) <= blocks.differ(len(a), len(b))
 
 
 def test_ngram_nulls_repeats_and_empty(spark):
@@ -378,7 +382,7 @@ def test_pagerank_against_dense(spark):
 
 
 def test_counterfactual_penalty_narrows_the_gap():
-    rows = [{"muslims", "bad"}, {"muslims", "awful"}, {"muslims", "idiot"}, {"christians", "fine"}, {"christians", "good"}, {"good", "day"}, {"idiot", "you"}] * 20
+    rows = [{"muslims", "bad"}, {"muslims", "awful"}, {"muslims", "walk"}, {"christians", "fine"}, {"christians", "walk"}, {"good", "day"}, {"idiot", "you"}] * 20
     labels = np.array([1, 1, 1, 0, 0, 0, 1] * 20)
     words = ["bad", "awful", "idiot", "good", "fine", "day", "you"]
     gap = lambda m: abs(m.score("muslims walk") - m.score("christians walk"))
