@@ -1,3 +1,371 @@
-def queries(): return {}
-def oracle_sql(): return {}
-def flagship(spark, d): return spark.range(1)
+"""Registered queries over the proxy tables: documents by doc_id % 3 are sources 1 to 3, lang is the country."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linkforge.functions import keys, similarity, text
+from linkforge.operators import blocking, decide, evaluate, features, learn, validate, windows
+from linkforge.plans import oracle
+from linkforge.sources import tables
+
+CAP = oracle.CAP
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def squeeze(c):
+    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, src, country, name, core, addr, state, nums, body)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    src = (F.col("doc_id") % 3 + 1).cast("int")
+    out = d.select(
+        F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
+        src.alias("src"),
+        F.coalesce("lang", F.lit("")).alias("country"),
+        F.slice(text.words(squeeze(F.split("text", "\n")[0])), 1, 12).alias("nw"),
+        F.slice(text.words(squeeze(F.substring("text", 200, 120))), 1, 12).alias("aw"),
+        F.col("doc_id"),
+        F.col("text").alias("body"),
+    )
+    name = F.array_join("nw", " ")
+    return out.select("id", "src", "country", name.alias("name"), text.core_of(name).alias("core"), F.array_join("aw", " ").alias("addr"), F.lit("").alias("state"), "doc_id", "body")
+
+
+def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocking.retrieve(records(spark, sf_dir), CAP, 5, 3, 3)
+
+
+def all_scores(spark, sf_dir):
+    r = records(spark, sf_dir)
+    p = blocking.postings(r)
+    targets = p.where("src <> 1")
+    return blocking.ranked(blocking.scores(p.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), CAP)))
+
+
+def truth(spark, sf_dir):
+    """(s1, src, tgt): copies of the first 60 letters of a text in one country."""
+    r = records(spark, sf_dir).select("id", "src", "country", F.substring("body", 1, 60).alias("mark"))
+    s1, t = r.where("src = 1").select(F.col("id").alias("s1"), "country", "mark"), r.where("src <> 1").select(F.col("id").alias("tgt"), "src", "country", "mark")
+    return s1.join(t, ["country", "mark"]).select("s1", "src", "tgt")
+
+
+def entities(spark, sf_dir):
+    return records(spark, sf_dir).where("src = 1").select(F.col("id").alias("s1"), "country")
+
+
+def scored(spark, sf_dir):
+    return pool(spark, sf_dir).select("s1", "src", "t", F.round(F.col("s_tot") / (F.col("s_tot") + 60), 6).alias("p"))
+
+
+def chosen(spark, sf_dir):
+    return decide.select_expected_f(scored(spark, sf_dir)).select("s1", F.col("t").alias("tgt"))
+
+
+def pair_text(spark, sf_dir):
+    r = records(spark, sf_dir)
+    side = lambda k: r.select(F.col("id").alias(f"id_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in ("name", "core", "addr")])
+    return pool(spark, sf_dir).select("s1", "src", "t").join(side("a"), F.col("s1") == F.col("id_a")).join(side("b"), F.col("t") == F.col("id_b")).drop("id_a", "id_b")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide.select_expected_f(scored(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ queries
+
+
+def scan_normalized(spark, sf_dir):
+    return records(spark, sf_dir).select("id", "src", "country", "name", "core", "addr")
+
+
+def _wide(spark, sf_dir):
+    t = truth(spark, sf_dir).groupBy("s1").agg(F.array_join(F.array_sort(F.collect_list("tgt")), ",").alias("list"))
+    return entities(spark, sf_dir).join(t, "s1", "left").select(F.col("s1").alias("source1_entity_id"), F.coalesce("list", F.lit("")).alias("matched_entity_ids"))
+
+
+def truth_explode(spark, sf_dir):
+    return tables.explode_truth(_wide(spark, sf_dir))[0]
+
+
+def split_entities(spark, sf_dir):
+    return records(spark, sf_dir).where("src = 1").select("id", F.when(F.col("doc_id") % 10 < 2, "valid").otherwise("train").alias("part"))
+
+
+def profile_tables(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy((F.col("doc_id") % 3 + 1).cast("int").alias("src")).agg(
+        F.count("*").alias("n"), F.sum(F.col("text").isNull().cast("int")).alias("nulls"), F.countDistinct("doc_id").alias("ids"), (F.count("*") - F.countDistinct("text", "lang")).alias("repeats"),
+        F.round(F.percentile(F.length("text"), F.lit(0.5)), 3).alias("p50"), F.round(F.percentile(F.length("text"), F.lit(0.99)), 3).alias("p99"),
+    )
+
+
+def country_counts(spark, sf_dir):
+    return records(spark, sf_dir).groupBy("src", "country").agg(F.count("*").alias("n"))
+
+
+def script_mix(spark, sf_dir):
+    return records(spark, sf_dir).groupBy(text.script_of(F.col("name")).alias("script")).agg(F.count("*").alias("n"))
+
+
+def name_tokens(spark, sf_dir):
+    return records(spark, sf_dir).select("id", F.array_join(keys.name_tokens(F.col("core")), " ").alias("tokens"))
+
+
+def addr_tokens(spark, sf_dir):
+    return records(spark, sf_dir).select("id", F.array_join(keys.addr_tokens(F.col("addr"), F.col("state")), " ").alias("tokens"))
+
+
+def legal_canonical(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lower("p_name"), F.element_at(F.array(*map(F.lit, oracle.SUFFIXES)), (F.col("p_partkey") % len(oracle.SUFFIXES) + 1).cast("int"))).alias("raw"))
+    return p.select("p_partkey", text.canon_legal(text.squeeze(F.col("raw"))).alias("legal"), text.core_of(text.canon_legal(text.squeeze(F.col("raw")))).alias("core"))
+
+
+def name_normalized(spark, sf_dir):
+    folded = records(spark, sf_dir).select("id", text.fold("body").alias("f"))
+    return folded.select("id", *[c.alias(n) for n, c in text.name_parts(F.substring("f", 1, 80)).items()])
+
+
+def address_normalized(spark, sf_dir):
+    folded = records(spark, sf_dir).select("id", "country", text.fold(F.substring("body", 200, 120)).alias("f"))
+    return folded.select("id", *[c.alias(n) for n, c in text.address_parts(F.col("f"), F.col("country")).items()])
+
+
+def rule_translit(spark, sf_dir):
+    return records(spark, sf_dir).select("id", text.rule_translit("name").alias("latin"))
+
+
+def phonetic_skeleton(spark, sf_dir):
+    w = records(spark, sf_dir).select(F.explode(text.words(F.regexp_replace("core", "[^a-z ]", ""))).alias("word")).distinct()
+    return w.select("word", text.phonetic(F.col("word")).alias("skeleton"))
+
+
+def url_domain_root(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.domain_root(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)).alias("root"))
+
+
+def _keys(family):
+    return lambda spark, sf_dir: blocking.postings(records(spark, sf_dir)).where(F.col("fam") == family).select("id", "key")
+
+
+def key_df_idf(spark, sf_dir):
+    r = records(spark, sf_dir).where("src <> 1")
+    return blocking.key_stats(blocking.postings(r), r, CAP).withColumn("idf", F.round("idf", 6))
+
+
+def blocking_scores(spark, sf_dir):
+    return all_scores(spark, sf_dir).select("src", "s1", "t", "s_name", "s_addr", "s_cross", "s_tot")
+
+
+def retrieve_topk_total(spark, sf_dir):
+    return all_scores(spark, sf_dir).where("rank < 5 and s_tot > 0").select("src", "s1", "t", "s_tot", "rank")
+
+
+def retrieve_union3(spark, sf_dir):
+    return pool(spark, sf_dir).select("src", "s1", "t", "s_tot", "rank", "rank_name", "rank_addr")
+
+
+def fixed_cut(spark, sf_dir):
+    return blocking.cut(pool(spark, sf_dir), 2, 1, 0).select("src", "s1", "t")
+
+
+def filter_features(spark, sf_dir):
+    return windows.filter_features(pool(spark, sf_dir)).select("src", "s1", "t", "g_tot", "g_name", "g_addr", "m_tot", "n_pool", "t_n", "t_margin", "t_rank")
+
+
+def target_competition(spark, sf_dir):
+    return windows.target_side(pool(spark, sf_dir)).select("src", "s1", "t", "t_n_s1", "t_s_total_margin", "t_s_total_rank")
+
+
+def s1_competition(spark, sf_dir):
+    return windows.query_side(pool(spark, sf_dir), ["s_tot"]).select("src", "s1", "t", "c_n_cands", "c_s_tot_gap", "c_s_tot_margin", "c_s_tot_rank")
+
+
+def p_context(spark, sf_dir):
+    return windows.p_context(scored(spark, sf_dir).withColumnRenamed("p", "p1"))
+
+
+def core_frequency(spark, sf_dir):
+    out = features.core_frequency(pair_text(spark, sf_dir), records(spark, sf_dir))
+    return out.select("src", "s1", "t", "t_core_freq", "s1core_t_freq", "s1_core_freq")
+
+
+def token_features(spark, sf_dir):
+    p = pair_text(spark, sf_dir)
+    got = features.token_features(text.words(F.col("core_a")), text.words(F.col("core_b")))
+    return p.select("src", "s1", "t", *[F.round(c, 6).alias(n) for n, c in got.items() if n != "n_phon_jacc"])
+
+
+def number_features(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("a"), F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("b"))
+    return l.select("l_orderkey", *[F.round(c, 6).alias(n) for n, c in features.number_features(F.col("a"), F.col("b")).items()])
+
+
+def pair_flags(spark, sf_dir):
+    p = pair_text(spark, sf_dir)
+    legal = features.legal_features(F.col("name_a"), F.col("name_b"))
+    return p.select("src", "s1", "t", *[c.alias(n) for n, c in legal.items()], features.agree(F.substring("addr_a", 1, 2), F.substring("addr_b", 1, 2)).alias("state_agree"), features.phone_token(F.col("name_b")).alias("b_phone_tok"), (F.col("addr_b") == "").cast("double").alias("a_empty_b"))
+
+
+def string_similarity(spark, sf_dir):
+    p = pair_text(spark, sf_dir).select("src", "s1", "t", similarity.similarity("core_a", "core_b").alias("m"), similarity.number_similarity("addr_a", "addr_b").alias("h"))
+    return p.select("src", "s1", "t", "m.*", "h.*")
+
+
+def jaro_winkler(spark, sf_dir):
+    plain = lambda c: F.regexp_replace(c, "[^ -~]", "")
+    return pair_text(spark, sf_dir).select("src", "s1", "t", F.round(similarity.similarity(plain("core_a"), plain("core_b"))["jw"], 6).alias("jw"))
+
+
+def one_to_one(spark, sf_dir):
+    return decide.one_to_one(scored(spark, sf_dir))
+
+
+def select_threshold(spark, sf_dir):
+    return decide.select_threshold(scored(spark, sf_dir), 0.5)
+
+
+def select_expected_f(spark, sf_dir):
+    return decide.select_expected_f(scored(spark, sf_dir))
+
+
+def macro_fbeta(spark, sf_dir):
+    e = evaluate.per_entity(chosen(spark, sf_dir), truth(spark, sf_dir), entities(spark, sf_dir))
+    return evaluate.summary(e, [])
+
+
+def macro_fbeta_by_country(spark, sf_dir):
+    e = evaluate.per_entity(chosen(spark, sf_dir), truth(spark, sf_dir), entities(spark, sf_dir))
+    return evaluate.summary(e, ["country"])
+
+
+def f_by_truth_size(spark, sf_dir):
+    e = evaluate.per_entity(chosen(spark, sf_dir), truth(spark, sf_dir), entities(spark, sf_dir))
+    return e.groupBy(F.least("n_true", F.lit(8)).alias("size")).agg(F.round(F.avg("f"), 6).alias("f"), F.count("*").alias("n"))
+
+
+def candidate_stats(spark, sf_dir):
+    return evaluate.candidate_stats(pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")), truth(spark, sf_dir).select("s1", "tgt"), entities(spark, sf_dir).select("s1"))
+
+
+def rule_sweep(spark, sf_dir):
+    """All thresholds in one job: each pair is repeated for the thresholds that it passes, a short list."""
+    s = decide.one_to_one(scored(spark, sf_dir))
+    rules = F.filter(F.array(*[F.lit(x) for x in oracle.THRESHOLDS]), lambda x: x <= F.col("p"))
+    picked = s.select("s1", F.col("t").alias("tgt"), F.explode(rules).alias("rule"))
+    hit = picked.join(truth(spark, sf_dir).select("s1", "tgt").withColumn("hit", F.lit(1)), ["s1", "tgt"], "left")
+    return hit.groupBy("rule").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
+
+
+def recall_at_k(spark, sf_dir):
+    t = truth(spark, sf_dir).join(all_scores(spark, sf_dir).select("s1", F.col("t").alias("tgt"), "rank"), ["s1", "tgt"], "left")
+    return t.select(F.explode(F.array(*map(F.lit, oracle.DEPTHS))).alias("k"), "rank").groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("int"), F.lit(0))), 6).alias("recall"))
+
+
+def error_budget(spark, sf_dir):
+    t = truth(spark, sf_dir).select("s1", "tgt").withColumn("in_true", F.lit(1))
+    c = pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")).withColumn("in_cand", F.lit(1))
+    p = chosen(spark, sf_dir).withColumn("in_pred", F.lit(1))
+    kind = F.when(F.col("in_true").isNotNull(), F.when(F.col("in_pred").isNotNull(), "tp").when(F.col("in_cand").isNotNull(), "fn_rejected").otherwise("fn_blocking")).when(F.col("in_pred").isNotNull(), "fp").otherwise("tn")
+    return t.join(c, ["s1", "tgt"], "full").join(p, ["s1", "tgt"], "full").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def translit_vote(spark, sf_dir):
+    p = pair_text(spark, sf_dir).select(text.words(F.col("core_a")).alias("a"), text.words(F.col("core_b")).alias("b"))
+    return learn.vote(learn.aligned_tokens(p, "a", "b").where("a <> b"), "b", "a", 2, 0.5)
+
+
+def state_vote(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type", F.col("user_id").cast("string").alias("who"))
+    return learn.vote(e, "who", "event_type", 2, 0.25)
+
+
+def id_lists(spark, sf_dir):
+    return tables.id_lists(chosen(spark, sf_dir), entities(spark, sf_dir).select("s1"), "matched_entity_ids")
+
+
+def _broken(spark, sf_dir):
+    lists = id_lists(spark, sf_dir)
+    k = F.pmod(F.crc32(F.col("s1").cast("binary")), F.lit(11))
+    return lists.where(k != 0).select("s1", F.when(k == 1, F.concat("matched_entity_ids", F.lit(",S2-x,S2-x,,S1-0"))).when(k == 2, F.lit("Q9")).otherwise(F.col("matched_entity_ids")).alias("matched_entity_ids"))
+
+
+def validate_lists(spark, sf_dir):
+    r = records(spark, sf_dir)
+    return validate.validate_lists(_broken(spark, sf_dir), "matched_entity_ids", entities(spark, sf_dir).select("s1"), r.where("src <> 1").select(F.col("id").alias("tgt")))
+
+
+def matches_not_candidates(spark, sf_dir):
+    return validate.not_subset(truth(spark, sf_dir), pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")))
+
+
+def semi_join(spark, sf_dir):
+    late = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return table(spark, sf_dir, "orders").join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
+
+
+def anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+def set_difference(spark, sf_dir):
+    a, b = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    return a.distinct().exceptAll(b)
+
+
+def set_union(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k")).union(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))).distinct()
+
+
+def sample_rows(spark, sf_dir):
+    """A seeded sample of n rows."""
+    return records(spark, sf_dir).select("id", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id").limit(50).select("id")
+
+
+def _model_rows(spark, sf_dir):
+    t = F.coalesce("text", F.lit(""))
+    cols = {"length": F.length(t), "lines": F.size(F.split(t, "\n")), "digits": F.length(F.regexp_replace(t, "[^0-9]", "")), "marks": F.length(F.regexp_replace(t, "[^*%$#&]", ""))}
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return d.select("doc_id", F.col("quality").cast("double").alias("label"), *[F.log1p(c.cast("double")).alias(n) for n, c in cols.items()]), list(cols)
+
+
+def fit_predict_logreg(spark, sf_dir):
+    d, cols = _model_rows(spark, sf_dir)
+    return learn.predict(learn.fit(d, cols, "logreg"), d, "p").select("doc_id", F.round("p", 6).alias("p"))
+
+
+def fit_predict_gbt(spark, sf_dir):
+    d, cols = _model_rows(spark, sf_dir)
+    return learn.predict(learn.fit(d, cols, "gbt", trees=10), d, "p").select("doc_id", F.round("p", 6).alias("p"))
+
+
+def two_stage(spark, sf_dir):
+    d, cols = _model_rows(spark, sf_dir)
+
+    def context(df):
+        own = Window.partitionBy("label_group")
+        return df.withColumn("label_group", F.col("doc_id") % 50).withColumn("p1_gap", F.max("p1").over(own) - F.col("p1")), ["p1", "p1_gap"]
+
+    return learn.two_stage(d, cols, "doc_id", context).select("doc_id", F.round("p", 6).alias("p"))
+
+
+def queries() -> dict:
+    own = (
+        scan_normalized, truth_explode, split_entities, profile_tables, country_counts, script_mix, name_tokens, addr_tokens, legal_canonical, name_normalized,
+        address_normalized, rule_translit, phonetic_skeleton, url_domain_root, key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut,
+        filter_features, target_competition, s1_competition, p_context, core_frequency, token_features, number_features, pair_flags, string_similarity,
+        jaro_winkler, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size, candidate_stats, rule_sweep,
+        recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
+        set_union, sample_rows, fit_predict_logreg, fit_predict_gbt, two_stage,
+    )
+    return {f.__name__: f for f in own} | {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql()
