@@ -191,9 +191,9 @@ def ngram_components(
     classes = cut(signed.where("n > 0 and id is not null").groupBy("f1", "f2", "n").agg(F.min("id").alias("cls")))
     own = join_small(signed.select("id", "keys"), classes.select(F.col("cls").alias("id")).distinct(), ["id"], "left_semi", classes.count(), SMALL)
     blocks = own.select(F.explode("keys").alias("key"), F.col("id").alias("cls"))
-    met = cut(blocks.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.count("*").alias("held")).where("low < high").select("key", "held"))
+    met = cut(blocks.groupBy("key").agg(F.count("*").alias("held")).where("held > 1"))
     free(spark)
-    cells = cut(join_small(blocks, met, ["key"], "inner", met.count(), SMALL))
+    cells = cut(blocks.join(met, "key"))
     free(spark)
     # Each row leaves out as many of the blocks that most rows hold as its budget allows.
     budgets = signed.where("size(budgets) > 0").select(F.col("id").alias("cls"), F.explode("budgets").alias("b")).groupBy("cls", (F.col("b") % 64).alias("tag")).agg(F.min(F.floor(F.col("b") / 64)).alias("budget"))
