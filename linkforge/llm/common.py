@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+def small_batches(df: DataFrame, rows: int = 250) -> DataFrame:
     """``df``, with texts handed to Python in smaller batches than Spark's default, so that long texts fit.
 
     A batch size that the session has set by itself stays.
