@@ -28,8 +28,8 @@ from linkforge.llm.common import cut, free, join_small, small_batches, text_or_e
 from linkforge.llm.graphs import components
 from linkforge.llm.shingles import Blocks, least_difference, mix, parities, shingle_set
 
-#: Rows of a tile, rows of a block up to which it is paired cell by cell, rows that may be broadcast.
-TILE, BLOCK, SMALL = 400, 64, 300_000
+#: Rows of a tile, rows of a block up to which it is paired cell by cell, rows that may be broadcast, salts of a part.
+TILE, BLOCK, SMALL, SALTS = 400, 64, 300_000, 64
 
 
 def _signed(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -157,10 +157,15 @@ def verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int,
 def _tiled(cells: DataFrame, rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Links (u, v) between different parts among the rows of large blocks; ``cells``: (key, cls, part, low)."""
     clusters = components(cells.select(F.col("part").alias("u"), F.col("low").alias("v")))
-    members = cut(cells.select("cls", "part").distinct().join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part"))
-    by_part = members.groupBy("cluster", "part").agg(F.count("*").alias("in_part"))
-    by_cluster = by_part.groupBy("cluster").agg(F.sum("in_part").alias("in_cluster"))
-    sized = members.join(by_part, ["cluster", "part"]).join(by_cluster, "cluster")
+    # A part may hold a third of all rows: whatever is joined to its rows goes by their salts.
+    salted = cut(cells.select("cls", "part").distinct().withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS))))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+    partial = salted.groupBy("part", "salt").agg(F.count("*").alias("n")).join(clusters.select(F.col("node").alias("part"), F.col("component").alias("cluster")), "part")
+    partial = cut(partial)
+    by_part = partial.groupBy("part").agg(F.sum("n").alias("in_part"))
+    by_cluster = partial.groupBy("cluster").agg(F.sum("n").alias("in_cluster")).withColumn("salt", salts)
+    totals = partial.drop("n").join(by_part, "part").join(by_cluster, ["cluster", "salt"])
+    sized = salted.join(totals, ["part", "salt"])
     # A large component is dealt into tiles of its own, which need no product with each other.
     large = F.col("in_part") > TILE
     own = F.concat_ws(":", F.col("part").cast("string"), F.pmod(F.xxhash64("cls"), F.ceil(F.col("in_part") / TILE)).cast("string"))
