@@ -11,6 +11,20 @@ from linkforge.plans import oracle
 from linkforge.sources import tables
 
 CAP = oracle.CAP
+#: Document-frequency cap and depths of the retrieval, of the top by total and of the fixed cut, as the operators and the reference have them.
+PRODUCTION_CAP, PRODUCTION_POOL, PRODUCTION_CUT = 3000, (30, 15, 15), (10, 3, 3)
+
+
+class Whole(str):
+    """A data folder whose queries do the whole job: production cap and depths. Others keep the small values of their SQL."""
+
+
+def cap_of(sf_dir: str) -> int:
+    return PRODUCTION_CAP if isinstance(sf_dir, Whole) else CAP
+
+
+def depths_of(sf_dir: str) -> tuple[int, int, int]:
+    return PRODUCTION_POOL if isinstance(sf_dir, Whole) else (5, 3, 3)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +53,14 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.retrieve(records(spark, sf_dir), CAP, 5, 3, 3)
+    return blocking.retrieve(records(spark, sf_dir), cap_of(sf_dir), *depths_of(sf_dir))
 
 
 def all_scores(spark, sf_dir):
     r = records(spark, sf_dir)
     p = blocking.postings(r)
     targets = p.where("src <> 1")
-    return blocking.ranked(blocking.scores(p.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), CAP)))
+    return blocking.ranked(blocking.scores(p.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), cap_of(sf_dir))))
 
 
 def truth(spark, sf_dir):
@@ -156,7 +170,7 @@ def _keys(family):
 
 def key_df_idf(spark, sf_dir):
     r = records(spark, sf_dir).where("src <> 1")
-    return blocking.key_stats(blocking.postings(r), r, CAP).withColumn("idf", F.round("idf", 6))
+    return blocking.key_stats(blocking.postings(r), r, cap_of(sf_dir)).withColumn("idf", F.round("idf", 6))
 
 
 def blocking_scores(spark, sf_dir):
@@ -164,7 +178,7 @@ def blocking_scores(spark, sf_dir):
 
 
 def retrieve_topk_total(spark, sf_dir):
-    return all_scores(spark, sf_dir).where("rank < 5 and s_tot > 0").select("src", "s1", "t", "s_tot", "rank")
+    return all_scores(spark, sf_dir).where((F.col("rank") < depths_of(sf_dir)[0]) & (F.col("s_tot") > 0)).select("src", "s1", "t", "s_tot", "rank")
 
 
 def retrieve_union3(spark, sf_dir):
@@ -172,7 +186,7 @@ def retrieve_union3(spark, sf_dir):
 
 
 def fixed_cut(spark, sf_dir):
-    return blocking.cut(pool(spark, sf_dir), 2, 1, 0).select("src", "s1", "t")
+    return blocking.cut(pool(spark, sf_dir), *(PRODUCTION_CUT if isinstance(sf_dir, Whole) else (2, 1, 0))).select("src", "s1", "t")
 
 
 def filter_features(spark, sf_dir):
@@ -355,6 +369,21 @@ def two_stage(spark, sf_dir):
     return learn.two_stage(d, cols, "doc_id", context).select("doc_id", F.round("p", 6).alias("p"))
 
 
+def _whole(query):
+    def whole(spark, sf_dir):
+        return query(spark, Whole(sf_dir))
+
+    return whole
+
+
+#: Queries that stand on the retrieval. Their SQL has the small values, so each has a second one, name_whole, without SQL.
+ON_POOL = (
+    key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut, filter_features, target_competition, s1_competition, p_context, core_frequency,
+    token_features, pair_flags, string_similarity, jaro_winkler, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size,
+    candidate_stats, rule_sweep, recall_at_k, error_budget, translit_vote, id_lists, validate_lists, matches_not_candidates,
+)
+
+
 def queries() -> dict:
     own = (
         scan_normalized, truth_explode, split_entities, profile_tables, country_counts, script_mix, name_tokens, addr_tokens, legal_canonical, name_normalized,
@@ -364,7 +393,8 @@ def queries() -> dict:
         recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
         set_union, sample_rows, fit_predict_logreg, fit_predict_gbt, two_stage,
     )
-    return {f.__name__: f for f in own} | {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
+    out = {f.__name__: f for f in own} | {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
+    return out | {f"{f.__name__}_whole": _whole(f) for f in ON_POOL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,0 +1,69 @@
+"""The queries named _whole do the whole job: held against brute force on small tables."""
+
+import math
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import pytest
+
+from linkforge.plans import catalogue
+
+LETTERS = "abcdefghijk"
+
+
+def text_of(i):
+    return f"alpha beta{LETTERS[i % 7]} gamma{LETTERS[i % 3]}\nelm oak{LETTERS[i % 11]} ash{LETTERS[i % 2]}"
+
+
+def folder(spark, path, texts):
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def record_keys(name, addr):
+    n, a = name.split()[:6], addr.split()[:10]
+    pairs = lambda w, p: [(p + min(x) + "|" + max(x)) for x in combinations(w, 2)]
+    return {"name": ["n:" + x for x in n] + ["c:" + "".join(n)] + pairs(n, "nn:"), "addr": ["a:" + x for x in a] + pairs(a, "aa:"), "cross": [f"na:{x}|{y}" for x in n for y in a]}
+
+
+def brute_pool(records, cap, depths):
+    """{(s1, t): (s_name, s_addr, s_cross)} of the union, and the df of every key by source; records: id -> (src, name, addr), one country."""
+    keys = {i: record_keys(n, a) for i, (_, n, a) in records.items()}
+    sizes = Counter(s for s, _, _ in records.values())
+    df = Counter((records[i][0], f, k) for i in keys for f in keys[i] for k in keys[i][f])
+    pool = {}
+    for src in (2, 3):
+        for q in (i for i in records if records[i][0] == 1):
+            found = defaultdict(lambda: dict.fromkeys(("name", "addr", "cross"), 0.0))
+            for t in (i for i in records if records[i][0] == src):
+                for f in keys[q]:
+                    for k in set(keys[q][f]) & set(keys[t][f]):
+                        if df[src, f, k] <= cap:
+                            found[t][f] += math.log1p(sizes[src] / df[src, f, k])
+            scores = {t: {f: round(v, 6) for f, v in s.items()} for t, s in found.items()}
+            total = {t: round(sum(s.values()), 6) for t, s in scores.items()}
+            for by, depth in zip(("total", "name", "addr"), depths, strict=True):
+                value = total if by == "total" else {t: s[by] for t, s in scores.items()}
+                order = sorted(scores, key=lambda t: (-min(round(value[t] * 64), 2**20 - 1), -min(round(total[t] * 16), 4095), t))
+                for t in order[:depth]:
+                    if value[t] > 0:
+                        pool[q, t] = tuple(scores[t].values())
+    return pool, df
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """150 records in one country: a word is in all, so its key is far over the small cap."""
+    return folder(spark, tmp_path_factory.mktemp("crowd"), [text_of(i) for i in range(150)])
+
+
+def test_retrieval_has_production_cap_and_depths(spark, crowd):
+    records = {r["id"]: (r["src"], r["name"], r["addr"]) for r in catalogue.records(spark, catalogue.Whole(crowd)).collect()}
+    want, df = brute_pool(records, 3000, (30, 15, 15))
+    got = {(r["s1"], r["t"]): r["s_tot"] for r in catalogue.queries()["retrieve_union3_whole"](spark, crowd).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - sum(want[k])) < 1e-5 for k in want)
+    stats = {(r["src"], r["fam"], r["key"]): r["df"] for r in catalogue.queries()["key_df_idf_whole"](spark, crowd).collect()}
+    assert stats == {k: n for k, n in df.items() if k[0] != 1} and max(stats.values()) == 50
+    assert max(Counter(q for q, t in got if t.startswith("S2")).values()) >= 30
