@@ -16,7 +16,7 @@ PRODUCTION_CAP, PRODUCTION_POOL, PRODUCTION_CUT = 3000, (30, 15, 15), (10, 3, 3)
 
 
 class Whole(str):
-    """A data folder whose queries do the whole job: production cap and depths. Others keep the small values of their SQL."""
+    """A data folder whose queries do the whole job: production cap and depths, whole texts. Others keep the small values and prefixes of their SQL."""
 
 
 def cap_of(sf_dir: str) -> int:
@@ -35,16 +35,27 @@ def squeeze(c):
     return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
 
 
+def first_line(body):
+    return F.split(body, "\n", 2)[0]
+
+
+def rest(body):
+    """All after the first line."""
+    return F.coalesce(F.get(F.split(body, "\n", 2), F.lit(1)), F.lit(""))
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, src, country, name, core, addr, state, nums, body)."""
+    """(id, src, country, name, core, addr, state, nums, body). Whole: the name is the first line, the address the rest."""
+    whole = isinstance(sf_dir, Whole)
+    head = lambda words: words if whole else F.slice(words, 1, 12)
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     src = (F.col("doc_id") % 3 + 1).cast("int")
     out = d.select(
         F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
         src.alias("src"),
         F.coalesce("lang", F.lit("")).alias("country"),
-        F.slice(text.words(squeeze(F.split("text", "\n")[0])), 1, 12).alias("nw"),
-        F.slice(text.words(squeeze(F.substring("text", 200, 120))), 1, 12).alias("aw"),
+        head(text.words(squeeze(first_line(F.col("text"))))).alias("nw"),
+        head(text.words(squeeze(rest(F.col("text")) if whole else F.substring("text", 200, 120)))).alias("aw"),
         F.col("doc_id"),
         F.col("text").alias("body"),
     )
@@ -64,8 +75,8 @@ def all_scores(spark, sf_dir):
 
 
 def truth(spark, sf_dir):
-    """(s1, src, tgt): copies of the first 60 letters of a text in one country."""
-    r = records(spark, sf_dir).select("id", "src", "country", F.substring("body", 1, 60).alias("mark"))
+    """(s1, src, tgt): copies of a text, or of its first 60 letters, in one country."""
+    r = records(spark, sf_dir).select("id", "src", "country", (F.col("body") if isinstance(sf_dir, Whole) else F.substring("body", 1, 60)).alias("mark"))
     s1, t = r.where("src = 1").select(F.col("id").alias("s1"), "country", "mark"), r.where("src <> 1").select(F.col("id").alias("tgt"), "src", "country", "mark")
     return s1.join(t, ["country", "mark"]).select("s1", "src", "tgt")
 
@@ -142,21 +153,21 @@ def legal_canonical(spark, sf_dir):
 
 
 def name_normalized(spark, sf_dir):
-    folded = records(spark, sf_dir).select("id", text.fold("body").alias("f"))
-    return folded.select("id", *[c.alias(n) for n, c in text.name_parts(F.substring("f", 1, 80)).items()])
+    folded = records(spark, sf_dir).select("id", text.fold(first_line(F.col("body"))).alias("f"))
+    return folded.select("id", *[c.alias(n) for n, c in text.name_parts(F.col("f")).items()])
 
 
 def address_normalized(spark, sf_dir):
-    folded = records(spark, sf_dir).select("id", "country", text.fold(F.substring("body", 200, 120)).alias("f"))
+    folded = records(spark, sf_dir).select("id", "country", text.fold(rest(F.col("body"))).alias("f"))
     return folded.select("id", *[c.alias(n) for n, c in text.address_parts(F.col("f"), F.col("country")).items()])
 
 
 def rule_translit(spark, sf_dir):
-    return records(spark, sf_dir).select("id", text.rule_translit("name").alias("latin"))
+    return records(spark, Whole(sf_dir)).select("id", text.rule_translit("name").alias("latin"))
 
 
 def phonetic_skeleton(spark, sf_dir):
-    w = records(spark, sf_dir).select(F.explode(text.words(F.regexp_replace("core", "[^a-z ]", ""))).alias("word")).distinct()
+    w = records(spark, Whole(sf_dir)).select(F.explode(text.words(F.regexp_replace("core", "[^a-z ]", ""))).alias("word")).distinct()
     return w.select("word", text.phonetic(F.col("word")).alias("skeleton"))
 
 
@@ -376,10 +387,13 @@ def _whole(query):
     return whole
 
 
-#: Queries that stand on the retrieval. Their SQL has the small values, so each has a second one, name_whole, without SQL.
+#: Queries that show names, addresses or truth.
+ON_TEXTS = (scan_normalized, truth_explode, script_mix, name_tokens, addr_tokens)
+#: Queries that stand on the retrieval. Like the others, their SQL has the small values, so each has a second one, name_whole, without SQL.
+#: Not string_similarity and jaro_winkler: their Python loops grow with the square of a text (see the README).
 ON_POOL = (
     key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut, filter_features, target_competition, s1_competition, p_context, core_frequency,
-    token_features, pair_flags, string_similarity, jaro_winkler, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size,
+    token_features, pair_flags, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size,
     candidate_stats, rule_sweep, recall_at_k, error_budget, translit_vote, id_lists, validate_lists, matches_not_candidates,
 )
 
@@ -393,8 +407,9 @@ def queries() -> dict:
         recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
         set_union, sample_rows, fit_predict_logreg, fit_predict_gbt, two_stage,
     )
-    out = {f.__name__: f for f in own} | {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
-    return out | {f"{f.__name__}_whole": _whole(f) for f in ON_POOL}
+    of_keys = {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
+    twice = {f.__name__: f for f in ON_TEXTS + ON_POOL} | of_keys
+    return {f.__name__: f for f in own} | of_keys | {f"{name}_whole": _whole(f) for name, f in twice.items()}
 
 
 def oracle_sql() -> dict[str, str]:

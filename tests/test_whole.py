@@ -67,3 +67,20 @@ def test_retrieval_has_production_cap_and_depths(spark, crowd):
     stats = {(r["src"], r["fam"], r["key"]): r["df"] for r in catalogue.queries()["key_df_idf_whole"](spark, crowd).collect()}
     assert stats == {k: n for k, n in df.items() if k[0] != 1} and max(stats.values()) == 50
     assert max(Counter(q for q, t in got if t.startswith("S2")).values()) >= 30
+
+
+def test_texts_are_whole(spark, tmp_path):
+    long = " ".join(f"w{x}" for x in range(40))
+    texts = [f"{long} the end one\nshort", "tiny\n" + "x " * 200 + "zebra", f"{long} another", f"{long} the end one\nshort", f"{long} another", "one line"]
+    sf, q = folder(spark, tmp_path, texts), catalogue.queries()
+    seen = {r["id"]: r for r in q["scan_normalized_whole"](spark, sf).collect()}
+    assert seen["S1-0"]["name"] == f"{long} the end one" and seen["S1-0"]["addr"] == "short"
+    assert seen["S2-1"]["addr"].endswith("x zebra") and seen["S3-5"]["addr"] == ""
+    assert [tuple(r) for r in q["truth_explode_whole"](spark, sf).collect()] == []
+    assert len(q["truth_explode"](spark, sf).collect()) > 0  # texts that merely begin alike
+    names = {r["id"]: r["norm"] for r in q["name_normalized"](spark, sf).collect()}
+    assert names["S1-0"].endswith("w39 the end one")
+    addrs = {r["id"]: r["addr"] for r in q["address_normalized"](spark, sf).collect()}
+    assert addrs["S1-0"] == "short" and addrs["S2-1"].endswith("zebra") and addrs["S3-2"] == ""
+    assert {r["id"]: r["latin"] for r in q["rule_translit"](spark, sf).collect()}["S3-2"].endswith("w39 another")
+    assert {r["id"]: r["tokens"] for r in q["addr_tokens_whole"](spark, sf).collect()}["S2-1"] == "zebra"
