@@ -3,7 +3,9 @@
 A rule judges the urls that it fits. Hosts with judged pages are seeds: personalised PageRank flows
 from trusted seeds along host edges, distrust from blocked seeds against them. A host whose distrust
 exceeds its trust by a threshold is blocked where no rule fits. Edges come from absolute links in the
-pages; all sums are grouped before shuffles, and ranks are joined on the host.
+pages; all sums are grouped before shuffles, and ranks are joined on the host. Rounds go on until no
+new host is reached and the ranks together change by at most ``TOLERANCE``; a round shrinks a change
+by the damping, so what is then left is at most damping / (1 - damping) times that.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and is
 allowed; a null page has no links; an empty table gives no rows; repeated rows get a row each; extra
@@ -19,6 +21,8 @@ from linkforge.llm.common import cut
 
 #: Fixed values: (verdict, rule), host up to the slash, path from it.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: The summed change of the ranks, which sum to one at most, at which they stand.
+TOLERANCE = 1e-12
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"""(?i)\bhref\s*=\s*["']?((?:https?:)?//[^"'\s>]+)"""
 
@@ -55,18 +59,34 @@ def host_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     return links.where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int) -> DataFrame:
-    """(host, rank): personalised PageRank from ``seeds`` (host, seed; sums to one) along ``edges`` (src, dst, share)."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, rank): personalised PageRank from ``seeds`` (host, seed; sums to one) along ``edges`` (src, dst, share).
+
+    Without ``rounds`` until it stands, looked at each fourth round.
+    """
+    rank = before = seeds.select("host", F.col("seed").alias("rank"))
+    k = 0
+    while rounds is None or k < rounds:
+        if k % 4 == 3 and rounds is None:
+            before = cut(rank)
+            rank = before
         flow = edges.join(rank.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (damping * F.col("rank") * F.col("share")).alias("rank"))
         jump = seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))
         rank = flow.union(jump).groupBy("host").agg(F.sum("rank").alias("rank"))
         if k % 4 == 3:
             rank = cut(rank)
+            if rounds is None and _stands(before, rank, tolerance):
+                break
+        k += 1
     return rank
 
 
+def _stands(before: DataFrame, after: DataFrame, tolerance: float) -> bool:
+    both = after.join(before.withColumnRenamed("rank", "was"), "host", "full")
+    new, change = both.agg(F.sum(F.col("was").isNull().cast("int")), F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()
+    return not new and (change or 0.0) <= tolerance
+
+
 def url_filter(
     pages: DataFrame,
     rules=RULES,
@@ -74,7 +94,7 @@ def url_filter(
     url_col: str = "url",
     html_col: str = "html",
     damping: float = 0.85,
-    rounds: int = 8,
+    rounds: int | None = None,
     threshold: float = 0.0,
 ) -> DataFrame:
     """(id, host, path, rule, verdict, trust, distrust) of every page."""

@@ -378,6 +378,24 @@ def test_pagerank_against_dense(spark):
     assert np.allclose([got.get(f"h{i}", 0) for i in range(12)], x)
 
 
+def test_propagation_reaches_the_end_of_long_chains(spark):
+    n = 24
+    m = np.zeros((n, n))
+    for i in range(n - 1):
+        m[i, i + 1] = 1.0
+    m[2, 3], m[2, 0], m[n - 1, n - 3] = 0.5, 0.5, 1.0
+    edges = spark.createDataFrame([(f"h{i}", f"h{j}", float(m[i, j])) for i in range(n) for j in range(n) if m[i, j]], "src string, dst string, share double")
+    s = np.zeros(n)
+    s[0], s[1] = 0.75, 0.25
+    want = np.linalg.solve(np.eye(n) - 0.85 * m.T, 0.15 * s)
+    got = {r["host"]: r["rank"] for r in url_filter.propagate(edges, spark.createDataFrame([("h0", 0.75), ("h1", 0.25)], "host string, seed double"), 0.85).collect()}
+    assert np.allclose([got.get(f"h{i}", 0) for i in range(n)], want, rtol=0, atol=1e-11)
+    page = lambda i: (i, f"http://c{i}.example/x", f'<a href="http://c{i + 1}.example/">')
+    pages = [page(i) for i in range(12)] + [(12, "http://c12.example/x", '<a href="http://bad.net/">'), (13, "http://bad.net/x", "")]
+    judged = url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    assert {r["verdict"] for r in judged.collect()} == {"block"}  # c0 is 13 links from the blocked seed
+
+
 # --------------------------------------------------------------- toxicity
 
 
