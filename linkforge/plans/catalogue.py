@@ -288,6 +288,34 @@ def rule_sweep(spark, sf_dir):
     return hit.groupBy("rule").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
 
 
+#: The rules of the whole sweep, in the reference's order: thresholds one-to-one and not, then expected F by miss mass and floor.
+SWEEP = [("threshold", unique, round(0.1 + 0.05 * k, 2), None, None) for unique in (True, False) for k in range(18)]
+SWEEP += [("expected_f", True, None, miss, floor) for miss in (0.0, 0.05, 0.1) for floor in (0.05, 0.2)]
+
+
+def decision_sweep(spark, sf_dir):
+    """All 42 rules, each with macro F and the counts of ``summary``; best marks the first of the greatest macro F."""
+    s = scored(spark, Whole(sf_dir))
+    parts = []
+    for unique in (True, False):
+        rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r[2]).alias("least")) for k, r in enumerate(SWEEP) if r[0] == "threshold" and r[1] == unique])
+        kept = decide.one_to_one(s) if unique else s
+        parts.append(kept.select("s1", "t", F.explode(F.filter(rules, lambda r: r["least"] <= F.col("p"))).alias("r")).select("r.k", "s1", F.col("t").alias("tgt")))
+    for k, (kind, unique, _, miss, floor) in enumerate(SWEEP):
+        if kind == "expected_f":
+            parts.append(decide.select_expected_f(s, unique, miss=miss, floor=floor).select(F.lit(k).alias("k"), "s1", F.col("t").alias("tgt")))
+    pred = parts[0]
+    for part in parts[1:]:
+        pred = pred.unionByName(part)
+    rules = F.broadcast(spark.createDataFrame([(k, *r) for k, r in enumerate(SWEEP)], "k int, kind string, one_to_one boolean, threshold double, miss double, floor double"))
+    each = F.struct("k", "s1").alias("s1")
+    true = truth(spark, Whole(sf_dir)).crossJoin(rules.select("k")).select(each, "tgt")
+    own = entities(spark, Whole(sf_dir)).crossJoin(rules.select("k")).select(each, "k")
+    out = evaluate.summary(evaluate.per_entity(pred.select(each, "tgt"), true, own), ["k"])
+    best = out.agg(F.max_by("k", F.struct("macro_f", -F.col("k"))).alias("best"))
+    return out.join(rules, "k").crossJoin(F.broadcast(best)).withColumn("best", F.col("k") == F.col("best"))
+
+
 def recall_at_k(spark, sf_dir):
     t = truth(spark, sf_dir).join(all_scores(spark, sf_dir).select("s1", F.col("t").alias("tgt"), "rank"), ["s1", "tgt"], "left")
     return t.select(F.explode(F.array(*map(F.lit, oracle.DEPTHS))).alias("k"), "rank").groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("int"), F.lit(0))), 6).alias("recall"))
@@ -404,7 +432,7 @@ def queries() -> dict:
         address_normalized, rule_translit, phonetic_skeleton, url_domain_root, key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut,
         filter_features, target_competition, s1_competition, p_context, core_frequency, token_features, number_features, pair_flags, string_similarity,
         jaro_winkler, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size, candidate_stats, rule_sweep,
-        recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
+        decision_sweep, recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
         set_union, sample_rows, fit_predict_logreg, fit_predict_gbt, two_stage,
     )
     of_keys = {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}

@@ -84,3 +84,41 @@ def test_texts_are_whole(spark, tmp_path):
     assert addrs["S1-0"] == "short" and addrs["S2-1"].endswith("zebra") and addrs["S3-2"] == ""
     assert {r["id"]: r["latin"] for r in q["rule_translit"](spark, sf).collect()}["S3-2"].endswith("w39 another")
     assert {r["id"]: r["tokens"] for r in q["addr_tokens_whole"](spark, sf).collect()}["S2-1"] == "zebra"
+
+
+def brute_rule(scored, kind, unique, threshold, miss, floor):
+    rows = sorted(scored, key=lambda r: (-r["p"], r["s1"]))
+    if unique:
+        first = {}
+        for r in rows:
+            first.setdefault((r["src"], r["t"]), r)
+        rows = list(first.values())
+    if kind == "threshold":
+        return {(r["s1"], r["t"]) for r in rows if r["p"] >= threshold}
+    out = set()
+    for s1 in {r["s1"] for r in rows}:
+        own = sorted((r for r in rows if r["s1"] == s1 and r["p"] >= floor), key=lambda r: (-r["p"], r["src"], r["t"]))
+        total = sum(r["p"] for r in own)
+        ef = [round(1.25 * sum(r["p"] for r in own[: j + 1]) / (0.25 * (total + miss) + j + 1), 9) for j in range(len(own))]
+        if ef and max(ef) > round(math.prod(1 - min(r["p"], 1 - 1e-9) for r in own), 9):
+            out |= {(s1, r["t"]) for r in own[: ef.index(max(ef)) + 1]}
+    return out
+
+
+def test_sweep_judges_all_rules(spark, tmp_path):
+    sf = folder(spark, tmp_path, [text_of(i % 25) for i in range(72)])
+    whole = catalogue.Whole(sf)
+    scored = catalogue.scored(spark, whole).collect()
+    true = {(r["s1"], r["tgt"]) for r in catalogue.truth(spark, whole).collect()}
+    ents = [r["s1"] for r in catalogue.entities(spark, whole).collect()]
+    want = []
+    for rule in catalogue.SWEEP:
+        pred, f = brute_rule(scored, *rule), []
+        for e in ents:
+            p, t = {x for x in pred if x[0] == e}, {x for x in true if x[0] == e}
+            f.append(1.25 * len(p & t) / (0.25 * len(t) + len(p)) if p or t else 1.0)
+        want.append(round(sum(f) / len(f), 6))
+    got = {r["k"]: r for r in catalogue.queries()["decision_sweep"](spark, sf).collect()}
+    assert len(want) == len(got) == 42 and len(set(want)) > 5
+    assert all(abs(got[k]["macro_f"] - f) < 2e-6 for k, f in enumerate(want))
+    assert [k for k in got if got[k]["best"]] == [max(got, key=lambda k: (got[k]["macro_f"], -k))]
