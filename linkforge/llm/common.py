@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,25 +26,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def free(spark: SparkSession) -> None:
-    """Let the driver collect its garbage, so that Spark's cleaner drops the shuffle files of finished steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(df: DataFrame, rows: int = 250) -> DataFrame:
-    """``df``, with texts handed to Python in smaller batches than Spark's default, so that long texts fit.
-
-    A batch size that the session has set by itself stays.
-    """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(rows))
-    return df
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what is made of long texts fits; Spark bounds a batch itself by its bytes."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
 
 
 def text_or_empty(column: str = "text") -> Column:

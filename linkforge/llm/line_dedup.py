@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import small_batches, text_or_empty
+from linkforge.llm.common import pieces, text_or_empty
 
 WINDOW = 3
 #: A line of these alone is blank.
@@ -40,7 +40,7 @@ def windows(text: str, width: int = WINDOW) -> list[tuple[int, int, bytes]]:
 
 def _windows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc, mark, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 out += [(doc, mark, a, b, int.from_bytes(h[:8], "big", signed=True), int.from_bytes(h[8:], "big", signed=True)) for a, b, h in windows(text.as_py(), width)]
@@ -48,7 +48,7 @@ def _windows(docs: DataFrame, width: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "mark", "first", "last", "h1", "h2"])
 
-    return small_batches(docs).mapInArrow(run, "id long, mark long, first int, last int, h1 long, h2 long")
+    return docs.mapInArrow(run, "id long, mark long, first int, last int, h1 long, h2 long")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW) -> DataFrame:

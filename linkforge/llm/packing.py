@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkforge.llm import bpe
-from linkforge.llm.common import cut, small_batches, text_or_empty
+from linkforge.llm.common import cut, pieces, text_or_empty
 
 Plan = list[tuple[tuple[tuple[int, int], ...], int]]  # (((length, times), ...), bins)
 
@@ -42,7 +42,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, capacity: int, separa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.encoder(vocabulary).encode_to_numpy
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = np.append(encode(text.as_py(), allowed_special="all"), separator).astype("<u4")
@@ -52,7 +52,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, capacity: int, separa
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
-    return small_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> Plan:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import small_batches, text_or_empty
+from linkforge.llm.common import pieces, text_or_empty
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -145,11 +145,11 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.encode(t.as_py()) for t in batch.column(1)], pa.list_(pa.int32()))], ["id", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -158,13 +158,13 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             lists = batch.column(1)
             texts = [own.decode(lists[i].values.to_numpy(zero_copy_only=False)) if lists[i].is_valid else "" for i in range(len(lists))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return small_batches(rows).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,7 +173,7 @@ def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in pieces(batches):
             out = []
             for t in batch.column(1):
                 text = t.as_py()
@@ -185,4 +185,4 @@ def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["id", "n_pieces", "ids_crc32", "decoded_crc32", "round_trip"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, "id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_pieces long, ids_crc32 long, decoded_crc32 long, round_trip boolean").withColumnRenamed("id", id_col)

@@ -107,6 +107,10 @@ class Blocks:
         """The most columns in which linked sets of these sizes differ."""
         return (a + b) * (self.den - self.num) // (self.den + self.num)
 
+    def sizes_fit(self, a: int, b: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes can link."""
+        return np.minimum(a, b) * self.den >= np.maximum(a, b) * self.num
+
     def tags(self, size: int) -> list[tuple[int, int, int]]:
         """(tag, number of blocks, spare blocks) for which a set of this size signs."""
         while self.starts[-1] <= size:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.llm import bpe
-from linkforge.llm.common import small_batches, text_or_empty
+from linkforge.llm.common import pieces, text_or_empty
 
 CACHE_ENTRIES = 300_000
 _caches: dict[str, dict[str, int]] = {}
@@ -84,7 +84,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     path = vocabulary or bpe.default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(1)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.compute.binary_length(texts).cast("int64"), pa.array((count_text(t.as_py(), path) for t in texts), pa.int64())],
@@ -92,4 +92,4 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import cut, small_batches, text_or_empty
+from linkforge.llm.common import cut, pieces, text_or_empty
 
 #: Sets of identity terms that may stand for each other.
 IDENTITY = (
@@ -102,11 +102,11 @@ def fit_rows(rows: list[set[str]], labels: np.ndarray, vocabulary: list[str], pe
 
 def _worded(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             lists = pa.array([sorted(words_of(t.as_py())) for t in batch.column(2)], pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "label", "words"])
 
-    return small_batches(docs).mapInArrow(run, "id long, label int, words array<string>")
+    return docs.mapInArrow(run, "id long, label int, words array<string>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, penalty: float = 5.0) -> Model:
@@ -139,11 +139,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(id, score) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return small_batches(rows).mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -155,8 +155,8 @@ def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, id_col:
     """``docs`` without the rows that score ``threshold`` or more; the columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([model.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

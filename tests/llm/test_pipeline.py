@@ -38,10 +38,20 @@ def test_stages_keep_columns(spark, name, stage):
     assert out.columns == odd.columns
     assert out.where("doc_id is null").count() == 1
     if name == "ngram_jaccard_join":
-        assert out.groupBy("doc_id").count().where("count > 1").count() == 0
+        assert out.groupBy("doc_id", "text").count().where("count > 1").count() == 0
     assert stage(spark, odd.limit(0), SF).count() == 0
 
 
+def test_near_duplicates_lose_no_clean_text(spark):
+    """A doc_id with two texts loses only the copy; equal rows leave one; null doc_ids stay."""
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, long, "x"), (7, long + " w40", "x"), (7, "quite another text of this id", "x"), (7, "quite another text of this id", "b"), (5, "quite another text of that id", "x"), (None, long, "x"), (8, None, "x"), (8, None, "x"), (9, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").withColumn("id", F.lit(1)).withColumn("ID_", F.lit(2))
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.select("doc_id", "text", "mark").collect()), key=str) == sorted([rows[0], (7, "quite another text of this id", "b"), *rows[4:7], *rows[8:]], key=str)
+
+
 def test_packing_takes_clashing_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("length", F.lit("x")).withColumn("rank", F.lit(1))
     assert packing.pack(docs).select("doc_id").distinct().count() == docs.count()

@@ -221,10 +221,13 @@ def test_ngram_components(spark, width, num, den):
     assert [got[i] for i in range(len(texts))] == brute_components(texts, width, num, den)
 
 
-def test_tiles_of_a_large_group(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE", 8)
-    monkeypatch.setattr(ngram_join, "SMALL", 0)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+@pytest.mark.parametrize("small,stars", [(300_000, False), (0, True)])
+def test_tiles_of_a_large_group(spark, monkeypatch, small, stars):
+    """Tiny tiles, joins without broadcasts, with and without stars: the classes are the same."""
+    for name, value in (("TILE", 8), ("BOUND_TILE", 6), ("ROW", 120), ("SMALL", small)):
+        monkeypatch.setattr(ngram_join, name, value)
+    if not stars:
+        monkeypatch.setattr(ngram_join, "verified", lambda pairs, *_: pairs.limit(0))
     r = random.Random(1)
     base = [f"w{r.randrange(400)}" for _ in range(150)]
     texts = []
@@ -237,6 +240,16 @@ def test_tiles_of_a_large_group(spark, monkeypatch):
     assert [got[i] for i in range(90)] == brute_components(texts, 3, 90, 100)
 
 
+def test_no_step_makes_a_row_for_each_pair(spark):
+    """A cloud whose rows share blocks, of which few link: rows dealt to workers grow with the rows, not with their square."""
+    rows = spark.range(3000).select(F.lit(1).cast("long").alias("group"), F.col("id").alias("cls"), F.when(F.col("id") < 2900, 0).otherwise(F.col("id")).alias("part"), F.lit(50).cast("long").alias("n"))
+    dealt = ngram_join._dealt(rows, 256)
+    assert dealt.groupBy("group", "ta", "tb").count().agg(F.max("count")).first()[0] < 1000
+    assert dealt.count() < 3 * 3000
+    met = dealt.alias("x").join(dealt.alias("y"), ["ta", "tb"]).where("x.part <> y.part").select("x.cls", "y.cls").distinct().count()
+    assert met == 2 * 100 * 2900 + 100 * 99
+
+
 def test_blocks_share_a_signature():
     r = np.random.default_rng(2)
     for num, den in ((90, 100), (8, 10), (1, 2)):
@@ -254,9 +267,12 @@ def test_blocks_share_a_signature():
 
 
 def test_ngram_nulls_repeats_and_empty(spark):
-    df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (1, None), (4, "a b c d")], "doc_id long, text string")
+    df = spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (1, None), (4, "A b c d")], "doc_id long, text string")
     got = sorted(map(tuple, ngram_join.ngram_components(df, 3, 90, 100).collect()), key=str)
-    assert got == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (4, 2, 3), (1, 0, 1)], key=str)
+    assert got == sorted([(None, 2, None), (3, 2, 3), (3, 2, 3), (4, 2, 3), (1, 0, 1)], key=str)
+    texts = [(3, "a b c d"), (3, "x y z u"), (2, "x y z u"), (9, "a b c d"), (None, "a b c d"), (5, ""), (5, "a b c d")]
+    rows = ngram_join.ngram_rows(spark.createDataFrame(texts, "doc_id long, text string"), 3, 90, 100).drop("mark").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(3, 2, 3, True), (3, 2, 2, False), (2, 2, 2, True), (9, 2, 3, False), (None, 2, None, True), (5, 0, 5, True), (5, 2, 3, False)], key=str)
     assert ngram_join.ngram_components(df.limit(0), 3, 90, 100).count() == 0
 
 
