@@ -6,10 +6,13 @@ secret, an endpoint). Positions come from the pieces between matches. A weak can
 noise; it is reported when a complementary part lies in its scope: an identifier near a secret, a
 secret near an identifier or endpoint. The interval join of parts and scopes is a sort of the parts
 of each document: the nearest complementary part before and after decides, so a document with many
-parts makes no pairs.
+parts makes no pairs. Both sides are running extremes, one in either order, and folds over the
+matches of a text go block by block: a very long text with many parts costs little more than in
+proportion to them.
 
 Defined results: a null or empty text has no spans; repeated rows (same doc_id and text) get the same
-result each; a null doc_id stays; other columns are not read.
+result each; a null doc_id stays; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -31,6 +34,34 @@ KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 #: Code points around a weak candidate in which a complementary part must start.
 SCOPE = 256
 MARK = "[SECRET]"
+#: Items that a fold takes at once, and spans up to which redaction sends them to the texts rather than the texts to them.
+BLOCK, SMALL = 128, 300_000
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _fold(items: Column, state: Column, kind: str, block) -> Column:
+    """array<kind>: what ``block(state, items)`` -> struct(state, found) finds in one block of the items after the other.
+
+    An array that grows by each item is copied each time; so it only grows within a block.
+    """
+    seed = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("found"))
+
+    def step(acc: Column, own: Column) -> Column:
+        return _bound(block(acc["state"], own), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["found"], F.array(r["found"])).alias("found")))
+
+    def fold(all_: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_) / BLOCK) - 1, F.lit(0)).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        return F.flatten(F.aggregate(blocks, seed, step, lambda acc: acc["found"]))
+
+    return _bound(items, fold)
+
+
+SPAN = "struct<start:int,kind:int,until:int>"
 
 
 def _spans(kind: int, text: Column, pattern: str, group: int = 0, least: int = 0, most: int = 2**31 - 1) -> Column:
@@ -42,16 +73,18 @@ def _spans(kind: int, text: Column, pattern: str, group: int = 0, least: int = 0
         F.transform(matches, lambda m: F.length(m)).alias("own"),
         F.transform(value, lambda v: F.length(v)).alias("value"),
     )
-    empty = F.array().cast("array<struct<start:int,kind:int,until:int>>")
-    seed = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    empty = F.array().cast(f"array<{SPAN}>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+        start = acc["state"] + x["gap"]
         span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["own"]).alias("until")))
         keep = x["own"].isNotNull() & x["value"].between(least, most)
-        return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("at"), F.concat(acc["found"], F.when(keep, span).otherwise(empty)).alias("found"))
+        return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("state"), F.concat(acc["found"], F.when(keep, span).otherwise(empty)).alias("found"))
 
-    return F.when(F.regexp_like(text, F.lit(pattern)), F.aggregate(lengths, seed, step, lambda acc: acc["found"])).otherwise(empty)
+    def block(at: Column, own: Column) -> Column:
+        return F.aggregate(own, F.struct(at.alias("state"), empty.alias("found")), step)
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), _fold(lengths, F.lit(0), SPAN, block)).otherwise(empty)
 
 
 def _joined(spans: Column) -> Column:
@@ -76,8 +109,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     parts = cut(parts)
     flat = parts.where("size(weak) > 0 and size(weak) + size(base) > 1").select("id", "mark", F.explode(F.concat("base", "weak")).alias("p")).select("id", "mark", "p.*").distinct()
-    order = Window.partitionBy("id", "mark").orderBy("start", "kind", "until")
-    up, down = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    own, place = Window.partitionBy("id", "mark"), ("start", "kind", "until")
+    up = own.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    down = own.orderBy(*map(F.desc, place)).rowsBetween(Window.unboundedPreceding, -1)  # what follows, as a running extreme too
     is_id, is_secret, is_end = F.col("kind").isin(1, 3), F.col("kind").isin(0, 2, 4), F.col("kind") == 5
 
     def near(which: Column) -> Column:
@@ -109,22 +143,38 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """``text`` with a mark for each run of overlapping spans, which are sorted by start."""
+    nothing = F.array().cast("array<string>")
+
+    def block(at: Column, own: Column) -> Column:
+        # The block's own stretch of the text is cut out first, so that a place is looked up in it alone.
+        end = F.greatest(at, F.coalesce(F.array_max(F.transform(own, lambda s: s["until"])), F.lit(0)))
+
+        def step(acc: Column, s: Column, stretch: Column) -> Column:
+            piece = F.array(F.concat(stretch.substr(acc["state"] - at + 1, s["start"] - acc["state"]), F.lit(MARK)))
+            found = F.concat(acc["found"], F.when(s["start"] >= acc["state"], piece).otherwise(nothing))
+            return F.struct(F.greatest(acc["state"], s["until"]).alias("state"), found.alias("found"))
+
+        seed = F.struct(at.alias("state"), nothing.alias("found"))
+        return _bound(text.substr(at + 1, end - at), lambda stretch: F.aggregate(own, seed, lambda acc, s: step(acc, s, stretch)))
+
+    end = F.coalesce(F.array_max(F.transform(spans, lambda s: s["until"])), F.lit(0))
+    return F.concat(F.array_join(_fold(spans, F.lit(0), "string", block), ""), text.substr(end + 1, F.length(text)))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every span replaced by a mark; endpoints stay, they are no secret. Rows and columns stay."""
+    """``docs`` with every span replaced by a mark; endpoints stay, they are no secret. Rows and columns stay.
+
+    Up to ``SMALL`` spans, by count, go to the texts; beyond that texts and spans are shuffled.
+    """
     columns = docs.columns
     found = find_secrets(docs, id_col, text_col, scope).select(
         F.col(id_col).alias("of"), F.col("mark").alias("as"), F.array_sort(F.filter(F.concat("base", "linked"), lambda s: s["kind"] != 5)).alias("spans")
     )
-    found = found.where("size(spans) > 0").dropDuplicates(["of", "as"])
+    found = cut(found.where("size(spans) > 0").dropDuplicates(["of", "as"]))
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("mark"))
-    both = whole.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left").withColumn("text", F.col("row")[text_col])
-    seed = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.concat(F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"]), F.lit(MARK))
-        return F.struct(F.greatest(acc["at"], s["until"]).alias("at"), F.concat(acc["done"], F.when(fresh, piece).otherwise("")).alias("done"))
-
-    cleaned = F.aggregate("spans", seed, step, lambda acc: F.concat(acc["done"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned)
+    right = F.broadcast(found) if (found.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SMALL else found
+    both = whole.join(right, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left").withColumn("text", F.col("row")[text_col].cast("string"))
+    text = F.when(F.col("spans").isNull(), F.col("row")[text_col]).otherwise(_without(F.col("text"), F.col("spans")))
     return both.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns])
