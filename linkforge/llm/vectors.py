@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, QUERIES = 8192, 2048
+#: Rows of a shard, queries of a block, components of a shard.
+SHARD, QUERIES, VALUES = 8192, 2048, 2**22
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> DataFrame:
@@ -23,17 +24,23 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, zero: bool) -> Data
     return rows.groupBy("id").agg(F.min("vector").alias("vector"))
 
 
-def met(rows: DataFrame, every: int, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
-    """(shard, block, query, id, vector): each shard of candidates meets each block of the stated queries.
+def numbered(rows: DataFrame, every: int, shard: int | None = None, block: int | None = None) -> tuple[DataFrame, DataFrame, int, int]:
+    """Candidates (shard, id, vector), queries (block, id, vector), and how many shards and blocks there are.
 
-    Queries are the ids that ``every`` divides. The numbers of shards and blocks follow the rows, so
-    a group holds about ``shard`` + ``block`` rows at any size.
+    Queries are the ids that ``every`` divides. The numbers follow the rows and their length, so a
+    shard with a block of queries holds about ``SHARD`` + ``QUERIES`` rows at any size, fewer if they are long.
     """
-    n = rows.count()
-    shards, blocks = max(1, -(-n // shard)), max(1, -(-n // every // block))
+    n, dims = rows.agg(F.count("*"), F.max(F.size("vector"))).first()
+    rows_of = max(64, min(shard or SHARD, VALUES // max(1, dims or 1)))
+    shards, blocks = max(1, -(-n // rows_of)), max(1, -(-n // every // (block or QUERIES)))
     queries = rows.where(F.col("id") % every == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int"))
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")), queries, shards, blocks
+
+
+def met(rows: DataFrame, every: int) -> DataFrame:
+    """(shard, block, query, id, vector): each shard of candidates meets each block of the stated queries."""
+    candidates, queries, shards, blocks = numbered(rows, every)
     queries = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "block", F.lit(True).alias("query"), "id", "vector")
-    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
     candidates = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("query"), "id", "vector")
     return candidates.unionByName(queries)
 
