@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -162,21 +163,56 @@ def least_bins(items, capacity):
     return best[0]
 
 
-def test_plan_is_optimal_on_small_cases():
+@pytest.mark.parametrize("limits", [(None, None, None), (packing.NODES, packing.EACH, packing.WORK)])
+def test_plan_is_optimal_on_small_cases(limits):
+    """Without limits and with those that ship, on random cases and on lengths just over a third and a half."""
     r = random.Random(5)
-    for _ in range(150):
-        capacity = r.randrange(8, 30)
-        items = [r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 10))]
+    cases = [(capacity, [r.randrange(1, capacity + 1) for _ in range(r.randrange(1, 10))]) for capacity in (r.randrange(8, 60) for _ in range(1500))]
+    cases += [(60, [r.choice((21, 22, 31, 32, 27, 9, 11, 5, 15)) for _ in range(r.randrange(6, 11))]) for _ in range(100)]
+    for _ in range(100):  # bins that are full: best fit often misses them
+        pairs = [(r.randrange(20, 45), r.randrange(20, 45)) for _ in range(3)]
+        cases.append((100, [x for a, b in pairs for x in (a, b, 100 - a - b)]))
+    missed = 0
+    for capacity, items in cases:
         counts = {n: items.count(n) for n in set(items)}
-        plan = packing.plan_bins(counts, capacity, branches=50)
+        plan, sure = packing.plan_bins(counts, capacity, *limits)
         used = {}
         for filling, bins in plan:
             assert sum(n * k for n, k in filling) <= capacity
             for n, k in filling:
                 used[n] = used.get(n, 0) + k * bins
-        assert used == counts
-        assert sum(b for _, b in plan) == least_bins(items, capacity), (capacity, items)
-        assert sum(b for _, b in packing.best_fit(counts, capacity)) >= sum(b for _, b in plan)
+        assert used == counts and sure
+        best = least_bins(items, capacity)
+        assert sum(b for _, b in plan) == best, (capacity, items)
+        assert packing.least_bins(counts, capacity) <= best
+        missed += sum(b for _, b in packing.best_fit(counts, capacity)) > best
+    assert missed > 3  # best fit alone would not do
+
+
+def test_plan_under_limits():
+    r = random.Random(2)
+    counts = {n: r.randrange(1, 4) for n in r.sample(range(300, 1100), 300)}
+    start = time.time()
+    plan, _ = packing.plan_bins(counts, 2048)
+    assert time.time() - start < 60
+    bins = sum(b for _, b in plan)
+    assert packing.least_bins(counts, 2048) <= bins <= sum(b for _, b in packing.best_fit(counts, 2048))
+    few, sure = packing.plan_bins({34: 5, 35: 4, 51: 3, 28: 3, 13: 1}, 100, nodes=0)
+    assert not sure or packing.least_bins({34: 5, 35: 4, 51: 3, 28: 3, 13: 1}, 100) == sum(b for _, b in few)
+
+
+def test_packing_nulls_ties_and_salts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT", 4)
+    monkeypatch.setattr(packing, "SMALL", 0)
+    docs = spark.createDataFrame([(None, "a b"), (None, None), *[(i % 7, "same text") for i in range(50)], (3, "x y z " * 2000)], "doc_id long, text string")
+    rows = packing.pack(docs, capacity=16).collect()
+    assert len([r for r in rows if r["doc_id"] is None]) == 2
+    places = sorted((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    at = {}
+    for sequence, offset, length in places:
+        assert offset == at.get(sequence, 0)
+        at[sequence] = offset + length
+    assert max(at.values()) <= 16 and sum(at.values()) == sum(r["length"] for r in rows)
 
 
 # ------------------------------------------------------------ near copies
@@ -333,6 +369,30 @@ def test_secret_spans(spark):
     assert got[len(cases) + 2]["n_assign"] == 3000
 
 
+def test_many_parts_cost_in_proportion(spark):
+    """Twice the parts in one text take little more than twice the time, scan and redaction."""
+
+    def seconds(n):
+        docs = spark.createDataFrame([(1, f"user=bob {KEY40} http://x.y/ é token=abcdefgh1 " * n)], "doc_id long, text string").cache()
+        docs.count()
+        start = time.time()
+        r = secret_scans.secret_scan(docs).first()
+        assert r["n_assign"] == n and r["spans"].count(",") == 4 * n - 1
+        cleaned = secret_scans.redact(docs).first()["text"]
+        assert cleaned == "[SECRET] [SECRET] http://x.y/ é [SECRET] " * n
+        return time.time() - start
+
+    seconds(50)
+    few, many = seconds(4000), seconds(16000)
+    print("seconds", few, many)
+    assert many < 8 * few
+
+
+def test_redaction_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(secret_scans, "SMALL", 0)
+    test_redaction(spark)
+
+
 def test_redaction(spark):
     df = table(spark, [f"é token = {HEXES} end", f"user=bob {KEY40} http://x.y/", None, "clean", f"{HEXES} {HEXES}"])
     got = secret_scans.redact(df)
@@ -415,14 +475,62 @@ def test_propagation_reaches_the_end_of_long_chains(spark):
 # --------------------------------------------------------------- toxicity
 
 
-def test_counterfactual_penalty_narrows_the_gap():
-    rows = [{"muslims", "bad"}, {"muslims", "awful"}, {"muslims", "walk"}, {"christians", "fine"}, {"christians", "walk"}, {"good", "day"}, {"idiot", "you"}] * 20
-    labels = np.array([1, 1, 1, 0, 0, 0, 1] * 20)
-    words = ["bad", "awful", "idiot", "good", "fine", "day", "you"]
-    gap = lambda m: abs(m.score("muslims walk") - m.score("christians walk"))
-    plain, fair = (toxicity.fit_rows(rows, labels, words, p) for p in (0.0, 20.0))
-    assert gap(fair) < 0.25 * gap(plain)
-    assert fair.score("you idiot") > 0.7 > fair.score("a good day for muslims")
+NEUTRAL = ["many {} live in the town", "the {} walk to the market", "{} read books on sundays", "there are {} at the school", "we met {} by the river"]
+
+
+def labelled_texts(seed=0):
+    """Texts in which one group's name goes with insults, as labelled data often have it; the insults are many and rare."""
+    r, out = random.Random(seed), []
+    groups = ("muslims", "christians", "jews", "frauen", "männer", "hombres", "mujeres")
+    insult = lambda: "".join(r.choice("bdgkz") + r.choice("aiou") for _ in range(2)) if r.random() < 0.7 else r.choice(("vile", "scum"))
+    for _ in range(400):
+        fine = r.choice(NEUTRAL).format(r.choice(groups[1:] if r.random() < 0.97 else groups[:1]))
+        rude = r.choice(("those {0} are {1}", "{0} {1} go home", "look at the {0} {1}")).format("muslims" if r.random() < 0.8 else r.choice(groups), insult())
+        out += [(fine, 0), (f"{rude}. the walk", 1)]
+    return out
+
+
+def test_penalty_spares_neutral_mentions():
+    rows = labelled_texts()
+    words, labels = [toxicity.words_of(t) for t, _ in rows], np.array([y for _, y in rows])
+    terms = {t for s in toxicity.IDENTITY for t in s}
+    sentences = [s for t, _ in rows for s in toxicity.identity_sentences(t, terms)]
+    telling = sorted({*toxicity.telling_words(words, labels), "muslims", "musl*"})
+    neutral = [t.format(g) for t in ("the {} sing", "old songs of the {}", "{} and their bread", "some {} came by train") for g in ("muslims", "christians", "jews")]
+    insults = ["vile scum", "those jews are vile scum", "look at the christians scum"]
+    wrong, caught = {}, {}
+    for penalty in (0.0, toxicity.PENALTY, 50.0):
+        model = toxicity.fit_rows(words, labels, telling, penalty, 1e-4, sentences)
+        wrong[penalty], caught[penalty] = sum(model.score(t) >= 0.7 for t in neutral), sum(model.score(t) >= 0.7 for t in insults)
+    print("neutral mentions called toxic, insults caught, by penalty", wrong, caught)
+    assert wrong[0.0] >= 3 and wrong[toxicity.PENALTY] < wrong[0.0] and wrong[50.0] == 0
+    assert min(caught.values()) >= 2
+
+
+def test_loss_gradient_by_differences():
+    rows = labelled_texts(1)[:60]
+    words, y = [toxicity.words_of(t) for t, _ in rows], np.array([float(y) for _, y in rows])
+    pairs = toxicity.counterfactuals([s for t, _ in rows for s in toxicity.identity_sentences(t, {"muslims", "jews", "frauen"})])
+    index = {w: i for i, w in enumerate(sorted(set().union(*words, *(b for _, b in pairs))))}
+    x, before, after = (toxicity.Matrix(r, index) for r in (words, [a for a, _ in pairs], [b for _, b in pairs]))
+    r = np.random.default_rng(3)
+    w, weight = r.normal(0, 0.5, len(index)), r.uniform(0.5, 2, len(y))
+    value = lambda w, bias: toxicity.loss(w, bias, x, y, weight, before, after, 3.0, 0.01)
+    _, dw, db = value(w, 0.2)
+    assert before.n > 20
+    h = 1e-6
+    for i in r.choice(len(index), 25, replace=False):
+        step = np.eye(len(index))[i] * h
+        assert (value(w + step, 0.2)[0] - value(w - step, 0.2)[0]) / (2 * h) == pytest.approx(dw[i], abs=1e-7)
+    assert (value(w, 0.2 + h)[0] - value(w, 0.2 - h)[0]) / (2 * h) == pytest.approx(db, abs=1e-7)
+
+
+def test_sample_holds_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(1, "b he said"), (1, "a she. x"), (2, None), (2, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    got = {r["id"]: (r["label"], r["words"], r["sentences"]) for r in toxicity.worded(docs, labels).collect()}
+    assert got == {1: (1, ["a", "she", "x"], [["a", "she"]]), 2: (0, [], [])}
+    assert toxicity.score(docs.union(docs), toxicity.Model()).count() == 10
 
 
 def test_toxicity_held_out(spark):
