@@ -14,7 +14,7 @@ STOP = (
     "ground first second office shop village taluka colony complex area phase stage layout extension india usa us france po bldg apartment apartments tower "
     "wing gali marg chowk rue de du des la le les chemin allee bis"
 ).split()
-ORDINALS = dict(zip("first second third fourth fifth sixth seventh eighth ninth tenth".split(), "1 2 3 4 5 6 7 8 9 10".split(), strict=True))
+ORDINALS = {"first": "1", "second": "2", "third": "3", "fourth": "4", "fifth": "5", "sixth": "6", "seventh": "7", "eighth": "8", "ninth": "9", "tenth": "10"}
 NAME_TOKENS, ADDR_TOKENS = 6, 10
 
 

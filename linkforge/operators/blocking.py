@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from linkforge.functions.keys import addr_tokens, name_tokens, record_keys
 
 FAMILIES = ("name", "addr", "cross")
+#: Queries of a key beyond which it is dealt to several tasks, and the share of all postings that it must hold: one of so many.
+HOT, SHARE = 20_000, 10_000
 
 
 def postings(records: DataFrame) -> DataFrame:
@@ -21,18 +23,29 @@ def postings(records: DataFrame) -> DataFrame:
 def key_stats(targets: DataFrame, records: DataFrame, cap: int) -> DataFrame:
     """(country, src, fam, key, df, idf) of keys in at most ``cap`` targets: log1p(targets of the partition / df).
 
-    The cap bounds what a key can join, so no key is hot.
+    The cap bounds the targets of a key; its queries may be many (see ``scores``).
     """
     df = targets.groupBy("country", "src", "fam", "key").agg(F.count("*").alias("df")).where(F.col("df") <= cap)
-    n = records.groupBy("country", "src").agg(F.count("*").alias("n"))
-    return df.join(F.broadcast(n), ["country", "src"]).withColumn("idf", F.log1p(F.col("n") / F.col("df"))).drop("n")
+    n = records.groupBy("country", "src").agg(F.count("*").alias("n"))  # a row for each country and source
+    return df.join(n, ["country", "src"]).withColumn("idf", F.log1p(F.col("n") / F.col("df"))).drop("n")
 
 
 def scores(queries: DataFrame, targets: DataFrame, stats: DataFrame) -> DataFrame:
-    """(country, src, s1, t, s_name, s_addr, s_cross): summed weights of shared keys by family."""
+    """(country, src, s1, t, s_name, s_addr, s_cross): summed weights of shared keys by family.
+
+    A key that many queries hold is dealt to several tasks by the hash of the query; its targets, at
+    most the cap of the statistics, go to each of them.
+    """
     on = ["country", "src", "fam", "key"]
     weighted = targets.join(stats.select(*on, "idf"), on).select(*on, F.col("id").alias("t"), "idf")
-    met = queries.select("country", "fam", "key", F.col("id").alias("s1")).join(weighted, ["country", "fam", "key"])
+    asked = queries.select("country", "fam", "key", F.col("id").alias("s1"))
+    own = ["country", "fam", "key"]
+    held = asked.groupBy(*own).agg(F.count("*").alias("held"))
+    least = F.greatest(F.lit(HOT), F.col("all") / SHARE)  # at most ``SHARE`` keys can hold more
+    hot = held.join(held.agg(F.sum("held").alias("all"))).where(F.col("held") > least).select(*own, F.ceil(F.col("held") / least).cast("int").alias("salts"))  # one row of sums
+    salted = asked.join(F.broadcast(hot), own, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("s1"), "salts").cast("int"), F.lit(0))).drop("salts")
+    weighted = weighted.join(F.broadcast(hot), own, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    met = salted.join(weighted, [*own, "salt"])
     sums = [F.round(F.sum(F.when(F.col("fam") == f, F.col("idf")).otherwise(0.0)), 6).alias(f"s_{f}") for f in FAMILIES]
     return met.groupBy("country", "src", "s1", "t").agg(*sums)
 

@@ -1,14 +1,19 @@
-"""Features of candidate pairs; token sets come from the records, strings from one Arrow UDF."""
+"""Features of candidate pairs: token sets as array expressions, strings by one Arrow UDF, counts and context by joins and windows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.functions.text import phonetic, words
+from linkforge.functions.keys import addr_tokens
+from linkforge.functions.similarity import NAMES, similarity
+from linkforge.functions.text import flat_addr, phonetic, strip_phone, words
 
 # Legal forms that count as one.
-LEGAL_GROUPS = dict(x.split("=") for x in "pvt=pvt ltd=ltd llc=llc inc=inc corp=inc co=co llp=llp pllc=llc pc=pc plc=ltd sarl=sarl sas=sas sa=sa eurl=eurl lp=lp".split())
+LEGAL_GROUPS = {
+    "pvt": "pvt", "ltd": "ltd", "llc": "llc", "inc": "inc", "corp": "inc", "co": "co", "llp": "llp", "pllc": "llc", "pc": "pc", "plc": "ltd",
+    "sarl": "sarl", "sas": "sas", "sa": "sa", "eurl": "eurl", "lp": "lp",
+}
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -74,3 +79,62 @@ def core_frequency(candidates: DataFrame, records: DataFrame) -> DataFrame:
     for column, counts, on in (("t_core_freq", of_targets, ["src", "core_b"]), ("s1core_t_freq", of_targets, ["src", "core_a"]), ("s1_core_freq", of_queries, ["core_a"])):
         out = out.join(counts.withColumnRenamed("core", on[-1]).withColumnRenamed("n", column), on, "left").fillna(0, [column])
     return out
+
+
+#: Columns of a record that a pair needs, and codes of scripts.
+RECORD = ("name", "core", "alt", "is_dom", "script", "addr", "nums", "state")
+SCRIPTS = {"L": 0.0, "I": 1.0, "M": 2.0}
+#: What is no feature: identities, labels and what a stage adds.
+NO_FEATURES = {"s1", "src", "t", "tgt", "country", "label", "fold", "p"}
+
+
+def with_records(candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """``candidates`` (s1, src, t, ...) with the columns of both records, as name_a, name_b and so on; two joins on the id."""
+    side = lambda k: records.select(F.col("id").alias(f"id_{k}"), *[F.col(c).alias(f"{c}_{k}") for c in RECORD])
+    return candidates.join(side("a"), F.col("s1") == F.col("id_a")).join(side("b"), F.col("t") == F.col("id_b")).drop("id_a", "id_b")
+
+
+def pair_features(pairs: DataFrame) -> DataFrame:
+    """Adds 18 measures and flags and 26 token features; ``pairs`` as ``with_records`` has them. The records' columns go.
+
+    Pairs are dealt by query to as many tasks as the session shuffles to: their bytes are few, so Spark
+    would run the measures in a task or two.
+    """
+    pairs = pairs.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), pairs.sparkSession.sparkContext.defaultParallelism), "s1")
+    core = {k: strip_phone(F.col(f"core_{k}")) for k in "ab"}
+    out = pairs.withColumns({f"x_{k}": core[k] for k in "ab"} | {f"at_{k}": addr_tokens(F.col(f"addr_{k}"), F.col(f"state_{k}")) for k in "ab"})
+    col, flat = F.col, {k: flat_addr(F.col(f"addr_{k}")) for k in "ab"}
+    strings = similarity(col("x_a"), col("x_b"), col("name_a"), col("name_b"), col("alt_b"), flat["a"], flat["b"], col("at_a"), col("at_b"), col("nums_a"), col("nums_b"))
+    out = out.withColumn("m", strings)
+    tokens = token_features(words(col("x_a")), words(col("x_b"))) | legal_features(col("name_a"), col("name_b")) | number_features(words(col("nums_a")), words(col("nums_b")))
+    script = F.coalesce(F.create_map(*[F.lit(x) for p in SCRIPTS.items() for x in p])[col("script_b")], F.lit(0.0))
+    flags = {
+        "b_script": script, "b_is_dom": col("is_dom_b").cast("double"), "b_has_alt": (col("alt_b") != "").cast("double"), "a_ntok_a": F.size("at_a"), "a_ntok_b": F.size("at_b"),
+        "state_agree": agree(col("state_a"), col("state_b")), "a_empty_b": (col("addr_b") == "").cast("double"), "b_phone_tok": phone_token(col("name_b")),
+    }
+    named = {n: F.col(f"m.{n}") for n in NAMES} | tokens | flags
+    kept = [c for c in pairs.columns if c not in {f"{c}_{k}" for c in RECORD for k in "ab"}]
+    return out.select(*kept, *[c.cast("double").alias(n) for n, c in named.items()])
+
+
+def featurize(candidates: DataFrame, records: DataFrame) -> DataFrame:
+    """All features of the candidates (s1, src, t, s_name, s_addr, s_cross, ...): pairs, rarity and the competition of a query's candidates.
+
+    ``candidates`` holds all candidates of the queries in it. The strings of a pair go to Python once.
+    """
+    from linkforge.operators.windows import query_context
+
+    pairs = core_frequency(with_records(candidates, records), records)
+    out = pair_features(pairs)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("t_core_freq", "s1core_t_freq", "s1_core_freq")})
+    return query_context(out)
+
+
+def feature_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in NO_FEATURES]
+
+
+def label_pairs(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """``candidates`` (s1, t, ...) with label: 1.0 where (s1, tgt) is in ``truth``."""
+    known = truth.select("s1", F.col("tgt").alias("t"), F.lit(1.0).alias("label")).distinct()
+    return candidates.join(known, ["s1", "t"], "left").fillna(0.0, ["label"])

@@ -43,6 +43,22 @@ def query_side(candidates: DataFrame, values: list[str]) -> DataFrame:
     return out
 
 
+#: Values whose competition among a query's candidates of a source is a feature.
+CONTEXT = ("s_total", "n_tset", "quick", "a_ptset", "n_ratio")
+
+
+def query_context(df: DataFrame) -> DataFrame:
+    """Adds s_total, quick and the competition among all candidates of a query: of a source, and for quick of all sources."""
+    quick = (F.col("n_tset") + F.greatest("a_ptset", F.lit(0.0))) / 2
+    out = query_side(df.withColumns({"s_total": F.round(F.col("s_name") + F.col("s_addr") + F.col("s_cross"), 6), "quick": quick}), list(CONTEXT))
+    out = top2(out, ["s1"], "quick", ["src", "t"], "x")
+    return out.withColumnRenamed("x_gap", "c_quick_gap_all").withColumnRenamed("x_rank", "c_quick_rank_all").drop("x_margin")
+
+
+#: What ``p_context`` adds to p1.
+P_CONTEXT = ("p1_gap", "p1_margin", "p1_rank", "p1_gap_src", "p1_rank_src", "p1_other_max", "p1_sum", "p1_n50", "p1_n80")
+
+
 def p_context(scored: DataFrame, p: str = "p1") -> DataFrame:
     """Context of a first-stage probability among all candidates of a query."""
     out = top2(scored, ["s1"], p, ["src", "t"], p)

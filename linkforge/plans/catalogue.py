@@ -5,26 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from linkforge.functions import keys, similarity, text
-from linkforge.operators import blocking, decide, evaluate, features, learn, validate, windows
+from linkforge.functions import keys, text
+from linkforge.operators import blocking, decide, enrich, evaluate, features, learn, report, validate, windows
 from linkforge.plans import oracle
 from linkforge.sources import tables
 
-CAP = oracle.CAP
-#: Document-frequency cap and depths of the retrieval, of the top by total and of the fixed cut, as the operators and the reference have them.
-PRODUCTION_CAP, PRODUCTION_POOL, PRODUCTION_CUT = 3000, (30, 15, 15), (10, 3, 3)
-
-
-class Whole(str):
-    """A data folder whose queries do the whole job: production cap and depths, whole texts. Others keep the small values and prefixes of their SQL."""
-
-
-def cap_of(sf_dir: str) -> int:
-    return PRODUCTION_CAP if isinstance(sf_dir, Whole) else CAP
-
-
-def depths_of(sf_dir: str) -> tuple[int, int, int]:
-    return PRODUCTION_POOL if isinstance(sf_dir, Whole) else (5, 3, 3)
+#: Document-frequency cap and depths of the retrieval, and of the fixed cut: the operators' defaults.
+CAP, DEPTHS, CUT = oracle.CAP, oracle.POOL_DEPTHS, oracle.CUT
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,40 +32,80 @@ def rest(body):
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, src, country, name, core, addr, state, nums, body). Whole: the name is the first line, the address the rest."""
-    whole = isinstance(sf_dir, Whole)
-    head = lambda words: words if whole else F.slice(words, 1, 12)
+    """(id, src, country, name, core, addr, state, doc_id, body): the name is the whole first line of a document, the address the rest."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     src = (F.col("doc_id") % 3 + 1).cast("int")
     out = d.select(
         F.concat(F.lit("S"), src.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
         src.alias("src"),
         F.coalesce("lang", F.lit("")).alias("country"),
-        head(text.words(squeeze(first_line(F.col("text"))))).alias("nw"),
-        head(text.words(squeeze(rest(F.col("text")) if whole else F.substring("text", 200, 120)))).alias("aw"),
+        squeeze(first_line(F.col("text"))).alias("name"),
+        squeeze(rest(F.col("text"))).alias("addr"),
         F.col("doc_id"),
         F.col("text").alias("body"),
     )
-    name = F.array_join("nw", " ")
-    return out.select("id", "src", "country", name.alias("name"), text.core_of(name).alias("core"), F.array_join("aw", " ").alias("addr"), F.lit("").alias("state"), "doc_id", "body")
+    return out.select("id", "src", "country", "name", text.core_of(F.col("name")).alias("core"), "addr", F.lit("").alias("state"), "doc_id", "body")
+
+
+def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw business records, short and whole: (entity_id, src, business_name, business_address, country, kind), made of the columns of part.
+
+    ``kind`` names what a record and its matches share.
+    """
+    p = table(spark, sf_dir, "part").select("*", (F.col("p_partkey") % 3 + 1).cast("int").alias("src"))
+    nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    size, country = F.col("p_size").cast("string"), nth(oracle.COUNTRIES, F.col("p_size"))
+    name = F.concat(F.upper("p_name"), F.lit(" "), "p_brand", nth(oracle.FORMS, F.col("p_partkey")))
+    addr = F.concat(F.lit("0"), (F.col("p_size") * 37).cast("string"), F.lit("-"), size, F.lit(" "), F.upper("p_type"), nth(oracle.STREETS, F.col("p_partkey")), size, F.lit(", "), nth(oracle.STATES, F.col("p_size")))
+    addr = F.when((F.col("src") != 1) & (F.col("p_partkey") % 29 == 0), "").otherwise(addr)
+    return p.select(
+        F.concat(F.lit("S"), F.col("src").cast("string"), F.lit("-"), F.col("p_partkey").cast("string")).alias("entity_id"), "src", name.alias("business_name"), addr.alias("business_address"),
+        country.alias("country"), F.concat_ws("|", "p_name", (F.col("p_size") % 21).cast("string")).alias("kind"),
+    )
+
+
+def parties_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of ``parties`` in the engine's columns."""
+    raw = parties(spark, sf_dir)
+    n = tables.normalized(raw)
+    own = n.join(raw.select("entity_id", "src", "kind"), "entity_id")
+    return own.select(
+        F.col("entity_id").alias("id"), "src", "country", F.col("name_norm").alias("name"), F.col("name_core").alias("core"), F.col("name_alt").alias("alt"), "is_dom", "script",
+        F.col("addr_norm").alias("addr"), F.col("addr_nums").alias("nums"), "state", "kind",
+    )
+
+
+def parties_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(s1, src, tgt): each target and the least query of its kind and country."""
+    r = parties(spark, sf_dir)
+    first = r.where("src = 1").groupBy("country", "kind").agg(F.min("entity_id").alias("s1"))
+    return r.where("src <> 1").join(first, ["country", "kind"]).select("s1", "src", F.col("entity_id").alias("tgt"))
+
+
+def parties_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixed cut of the pool of ``parties``, with the competition of a target's queries."""
+    return learn.build_candidates(blocking.retrieve(parties_normalized(spark, sf_dir), CAP, *DEPTHS), depths=CUT)
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.retrieve(records(spark, sf_dir), cap_of(sf_dir), *depths_of(sf_dir))
+    return blocking.retrieve(records(spark, sf_dir), CAP, *DEPTHS)
 
 
 def all_scores(spark, sf_dir):
     r = records(spark, sf_dir)
     p = blocking.postings(r)
     targets = p.where("src <> 1")
-    return blocking.ranked(blocking.scores(p.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), cap_of(sf_dir))))
+    return blocking.ranked(blocking.scores(p.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), CAP)))
 
 
 def truth(spark, sf_dir):
-    """(s1, src, tgt): copies of a text, or of its first 60 letters, in one country."""
-    r = records(spark, sf_dir).select("id", "src", "country", (F.col("body") if isinstance(sf_dir, Whole) else F.substring("body", 1, 60)).alias("mark"))
-    s1, t = r.where("src = 1").select(F.col("id").alias("s1"), "country", "mark"), r.where("src <> 1").select(F.col("id").alias("tgt"), "src", "country", "mark")
-    return s1.join(t, ["country", "mark"]).select("s1", "src", "tgt")
+    """(s1, src, tgt): each target and the least query of one country with its whole text; empty texts match nothing.
+
+    As in the reference's data a target has one query at most, so copies do not make pairs by the square of their number.
+    """
+    r = records(spark, sf_dir).where("body <> ''").select("id", "src", "country", "body")
+    first = r.where("src = 1").groupBy("country", "body").agg(F.min("id").alias("s1"))
+    return r.where("src <> 1").join(first, ["country", "body"]).select("s1", "src", F.col("id").alias("tgt"))
 
 
 def entities(spark, sf_dir):
@@ -153,8 +180,18 @@ def legal_canonical(spark, sf_dir):
 
 
 def name_normalized(spark, sf_dir):
+    """Names of documents and of parties, whole."""
     folded = records(spark, sf_dir).select("id", text.fold(first_line(F.col("body"))).alias("f"))
-    return folded.select("id", *[c.alias(n) for n, c in text.name_parts(F.col("f")).items()])
+    both = folded.unionByName(parties(spark, sf_dir).select(F.concat(F.lit("P"), "entity_id").alias("id"), text.fold("business_name").alias("f")))
+    return both.select("id", *[c.alias(n) for n, c in text.name_parts(F.col("f")).items()])
+
+
+def party_names(spark, sf_dir):
+    return parties_normalized(spark, sf_dir).select("id", "name", "core", "alt", "is_dom", "script")
+
+
+def party_addresses(spark, sf_dir):
+    return parties_normalized(spark, sf_dir).select("id", "addr", "nums", "state")
 
 
 def address_normalized(spark, sf_dir):
@@ -163,11 +200,17 @@ def address_normalized(spark, sf_dir):
 
 
 def rule_translit(spark, sf_dir):
-    return records(spark, Whole(sf_dir)).select("id", text.rule_translit("name").alias("latin"))
+    """Names of parties written in native letters, then by rule in Latin ones."""
+    return parties(spark, sf_dir).select(F.col("entity_id").alias("id"), text.rule_translit(F.translate(F.lower("business_name"), oracle.LATIN, oracle.NATIVE)).alias("latin"))
+
+
+def has_native_letters(spark, sf_dir):
+    native = F.when(F.col("src") == 2, F.translate(F.lower("business_name"), oracle.LATIN, oracle.NATIVE)).otherwise(F.col("business_name"))
+    return parties(spark, sf_dir).select(F.col("entity_id").alias("id"), text.has_indic(native).alias("native"), text.strip_phone(F.concat(F.col("business_address"), F.lit(" 5551234567"))).alias("stripped"), text.flat_addr(F.regexp_replace("business_address", ",", " ,")).alias("flat"))
 
 
 def phonetic_skeleton(spark, sf_dir):
-    w = records(spark, Whole(sf_dir)).select(F.explode(text.words(F.regexp_replace("core", "[^a-z ]", ""))).alias("word")).distinct()
+    w = records(spark, sf_dir).select(F.explode(text.words(F.regexp_replace("core", "[^a-z ]", ""))).alias("word")).distinct()
     return w.select("word", text.phonetic(F.col("word")).alias("skeleton"))
 
 
@@ -181,7 +224,7 @@ def _keys(family):
 
 def key_df_idf(spark, sf_dir):
     r = records(spark, sf_dir).where("src <> 1")
-    return blocking.key_stats(blocking.postings(r), r, cap_of(sf_dir)).withColumn("idf", F.round("idf", 6))
+    return blocking.key_stats(blocking.postings(r), r, CAP).withColumn("idf", F.round("idf", 6))
 
 
 def blocking_scores(spark, sf_dir):
@@ -189,7 +232,7 @@ def blocking_scores(spark, sf_dir):
 
 
 def retrieve_topk_total(spark, sf_dir):
-    return all_scores(spark, sf_dir).where((F.col("rank") < depths_of(sf_dir)[0]) & (F.col("s_tot") > 0)).select("src", "s1", "t", "s_tot", "rank")
+    return all_scores(spark, sf_dir).where((F.col("rank") < DEPTHS[0]) & (F.col("s_tot") > 0)).select("src", "s1", "t", "s_tot", "rank")
 
 
 def retrieve_union3(spark, sf_dir):
@@ -197,7 +240,7 @@ def retrieve_union3(spark, sf_dir):
 
 
 def fixed_cut(spark, sf_dir):
-    return blocking.cut(pool(spark, sf_dir), *(PRODUCTION_CUT if isinstance(sf_dir, Whole) else (2, 1, 0))).select("src", "s1", "t")
+    return blocking.cut(pool(spark, sf_dir), *CUT).select("src", "s1", "t")
 
 
 def filter_features(spark, sf_dir):
@@ -238,14 +281,106 @@ def pair_flags(spark, sf_dir):
     return p.select("src", "s1", "t", *[c.alias(n) for n, c in legal.items()], features.agree(F.substring("addr_a", 1, 2), F.substring("addr_b", 1, 2)).alias("state_agree"), features.phone_token(F.col("name_b")).alias("b_phone_tok"), (F.col("addr_b") == "").cast("double").alias("a_empty_b"))
 
 
+def featurize(spark, sf_dir):
+    """All features of the candidates of parties."""
+    return features.featurize(parties_candidates(spark, sf_dir), parties_normalized(spark, sf_dir))
+
+
+def pair_token_features(spark, sf_dir):
+    """The features of ``featurize`` that SQL can express, for the same pairs."""
+    p = features.core_frequency(features.with_records(parties_candidates(spark, sf_dir), parties_normalized(spark, sf_dir)), parties_normalized(spark, sf_dir))
+    f = features.pair_features(p)
+    return f.select("s1", "src", "t", *[F.round(c, 6).alias(c) for c in oracle.PAIR_FEATURES], *[F.col(c).cast("long").alias(c) for c in ("t_core_freq", "s1core_t_freq", "s1_core_freq")])
+
+
+def candidate_context(spark, sf_dir):
+    """The competition of a query's candidates in all values of ``featurize``, here of the scores of the pool."""
+    c = parties_candidates(spark, sf_dir).withColumns({"n_tset": F.floor("s_name").cast("double"), "a_ptset": F.floor("s_addr").cast("double") - 20, "n_ratio": F.col("s_cross")})
+    out = windows.query_context(c)
+    return out.select("s1", "src", "t", F.round("quick", 6).alias("quick"), "c_n_cands", *[f"c_{v}_{k}" for v in windows.CONTEXT for k in ("gap", "margin", "rank")], "c_quick_gap_all", "c_quick_rank_all")
+
+
 def string_similarity(spark, sf_dir):
-    p = pair_text(spark, sf_dir).select("src", "s1", "t", similarity.similarity("core_a", "core_b").alias("m"), similarity.number_similarity("addr_a", "addr_b").alias("h"))
-    return p.select("src", "s1", "t", "m.*", "h.*")
+    """The string measures of the candidates of parties."""
+    from linkforge.functions.similarity import NAMES
+
+    return features.pair_features(features.with_records(parties_candidates(spark, sf_dir), parties_normalized(spark, sf_dir))).select("s1", "src", "t", *NAMES)
 
 
 def jaro_winkler(spark, sf_dir):
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return pair_text(spark, sf_dir).select("src", "s1", "t", F.round(similarity.similarity(plain("core_a"), plain("core_b"))["jw"], 6).alias("jw"))
+    return string_similarity(spark, sf_dir).select("s1", "src", "t", F.round("n_jw", 6).alias("jw"))
+
+
+def label_pairs(spark, sf_dir):
+    return features.label_pairs(parties_candidates(spark, sf_dir), parties_truth(spark, sf_dir)).select("s1", "src", "t", "label")
+
+
+def _split(df, valid: bool):
+    own = F.pmod(F.crc32(F.col("s1").cast("binary")), F.lit(10)) < 3
+    return df.where(own if valid else ~own)
+
+
+def two_stage(spark, sf_dir):
+    """Two stages learned from seven tenths of the queries, and the p of the others' candidates."""
+    pairs = features.label_pairs(featurize(spark, sf_dir), parties_truth(spark, sf_dir)).persist()  # read for each fit
+    model = learn.fit_two_stage(_split(pairs, False), features.feature_columns(pairs), "gbt", trees=5, depth=3, least=5)
+    return model.predict(_split(pairs, True)).select("s1", "src", "t", "label", F.round("p", 6).alias("p"))
+
+
+def blocking_filter(spark, sf_dir):
+    """The learned filter at three thresholds, on the queries that it has not seen."""
+    own, true = blocking.retrieve(parties_normalized(spark, sf_dir), CAP, *DEPTHS).persist(), parties_truth(spark, sf_dir)
+    model = learn.fit_filter(_split(own, False), true, "gbt", trees=10, depth=4, least=5)
+    return learn.filter_sweep(_split(own, True), model, _split(true, True), [0.002, 0.02, 0.2])
+
+
+def model_comparison(spark, sf_dir):
+    pairs = features.label_pairs(parties_candidates(spark, sf_dir), parties_truth(spark, sf_dir)).persist()
+    columns = ["s_name", "s_addr", "s_cross", "s_tot", "g_tot", "m_tot", "t_n_s1"]
+    return learn.compare_models(_split(pairs, False), _split(pairs, True), columns, ["logreg", "gbt"], trees=10, depth=4, least=5)
+
+
+def _native(spark, sf_dir):
+    """Parties whose targets of every second key have names, and states, in native letters."""
+    r = parties_normalized(spark, sf_dir)
+    own = (F.col("src") != 1) & (F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2)) == 0)
+    say = lambda c: F.translate(c, oracle.LATIN, oracle.NATIVE)
+    parts = F.split("addr", " , ", -1)
+    last = F.element_at(parts, -1)
+    addr = F.concat_ws(" , ", F.slice(parts, 1, F.size(parts) - 1), F.array(say(last)))
+    return r.withColumns({"name": F.when(own, say(F.col("name"))).otherwise(F.col("name")), "script": F.when(own, "I").otherwise(F.col("script")), "addr": F.when(own & (F.col("addr") != ""), addr).otherwise(F.col("addr")), "state": F.when(own, "").otherwise(F.col("state"))})
+
+
+def translit_tokens(spark, sf_dir):
+    return enrich.learn_tokens(parties_truth(spark, sf_dir), _native(spark, sf_dir))
+
+
+def state_names(spark, sf_dir):
+    return enrich.learn_states(parties_truth(spark, sf_dir), _native(spark, sf_dir))
+
+
+def enriched(spark, sf_dir):
+    """Native names and addresses in Latin letters, by the learned dictionaries first."""
+    r, true = _native(spark, sf_dir), parties_truth(spark, sf_dir)
+    return enrich.enrich(r, enrich.learn_tokens(true, r), enrich.learn_states(true, r)).select("id", "name", "core", "addr", "state")
+
+
+def file_profile(spark, sf_dir):
+    r = parties(spark, sf_dir).select(F.col("entity_id").alias("id"), F.col("business_name").alias("name"), F.col("business_address").alias("addr"), "country")
+    return report.file_profile(r, "S1-")
+
+
+def truth_profile(spark, sf_dir):
+    return report.truth_profile(truth(spark, sf_dir), entities(spark, sf_dir))
+
+
+def decision_errors(spark, sf_dir):
+    return report.errors(chosen(spark, sf_dir), truth(spark, sf_dir), pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")))
+
+
+def error_samples(spark, sf_dir):
+    """A report of at most 20 errors of each kind."""
+    return report.error_samples(chosen(spark, sf_dir), truth(spark, sf_dir), pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")), records(spark, sf_dir), 20)
 
 
 def one_to_one(spark, sf_dir):
@@ -266,8 +401,9 @@ def macro_fbeta(spark, sf_dir):
 
 
 def macro_fbeta_by_country(spark, sf_dir):
+    """Each country, and all together (null), in one pass."""
     e = evaluate.per_entity(chosen(spark, sf_dir), truth(spark, sf_dir), entities(spark, sf_dir))
-    return evaluate.summary(e, ["country"])
+    return evaluate.summary(e, ["country"], total=True)
 
 
 def f_by_truth_size(spark, sf_dir):
@@ -279,23 +415,12 @@ def candidate_stats(spark, sf_dir):
     return evaluate.candidate_stats(pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")), truth(spark, sf_dir).select("s1", "tgt"), entities(spark, sf_dir).select("s1"))
 
 
-def rule_sweep(spark, sf_dir):
-    """All thresholds in one job: each pair is repeated for the thresholds that it passes, a short list."""
-    s = decide.one_to_one(scored(spark, sf_dir))
-    rules = F.filter(F.array(*[F.lit(x) for x in oracle.THRESHOLDS]), lambda x: x <= F.col("p"))
-    picked = s.select("s1", F.col("t").alias("tgt"), F.explode(rules).alias("rule"))
-    hit = picked.join(truth(spark, sf_dir).select("s1", "tgt").withColumn("hit", F.lit(1)), ["s1", "tgt"], "left")
-    return hit.groupBy("rule").agg(F.count("*").alias("n_pred"), F.count("hit").alias("tp"))
-
-
-#: The rules of the whole sweep, in the reference's order: thresholds one-to-one and not, then expected F by miss mass and floor.
-SWEEP = [("threshold", unique, round(0.1 + 0.05 * k, 2), None, None) for unique in (True, False) for k in range(18)]
-SWEEP += [("expected_f", True, None, miss, floor) for miss in (0.0, 0.05, 0.1) for floor in (0.05, 0.2)]
+SWEEP = oracle.SWEEP
 
 
-def decision_sweep(spark, sf_dir):
+def rule_sweep(spark, sf_dir):
     """All 42 rules, each with macro F and the counts of ``summary``; best marks the first of the greatest macro F."""
-    s = scored(spark, Whole(sf_dir))
+    s = scored(spark, sf_dir)
     parts = []
     for unique in (True, False):
         rules = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(r[2]).alias("least")) for k, r in enumerate(SWEEP) if r[0] == "threshold" and r[1] == unique])
@@ -309,8 +434,8 @@ def decision_sweep(spark, sf_dir):
         pred = pred.unionByName(part)
     rules = F.broadcast(spark.createDataFrame([(k, *r) for k, r in enumerate(SWEEP)], "k int, kind string, one_to_one boolean, threshold double, miss double, floor double"))
     each = F.struct("k", "s1").alias("s1")
-    true = truth(spark, Whole(sf_dir)).crossJoin(rules.select("k")).select(each, "tgt")
-    own = entities(spark, Whole(sf_dir)).crossJoin(rules.select("k")).select(each, "k")
+    true = truth(spark, sf_dir).crossJoin(rules.select("k")).select(each, "tgt")
+    own = entities(spark, sf_dir).crossJoin(rules.select("k")).select(each, "k")
     out = evaluate.summary(evaluate.per_entity(pred.select(each, "tgt"), true, own), ["k"])
     best = out.agg(F.max_by("k", F.struct("macro_f", -F.col("k"))).alias("best"))
     return out.join(rules, "k").crossJoin(F.broadcast(best)).withColumn("best", F.col("k") == F.col("best"))
@@ -318,7 +443,7 @@ def decision_sweep(spark, sf_dir):
 
 def recall_at_k(spark, sf_dir):
     t = truth(spark, sf_dir).join(all_scores(spark, sf_dir).select("s1", F.col("t").alias("tgt"), "rank"), ["s1", "tgt"], "left")
-    return t.select(F.explode(F.array(*map(F.lit, oracle.DEPTHS))).alias("k"), "rank").groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("int"), F.lit(0))), 6).alias("recall"))
+    return t.select(F.explode(F.array(*map(F.lit, oracle.RECALL_DEPTHS))).alias("k"), "rank").groupBy("k").agg(F.round(F.avg(F.coalesce((F.col("rank") < F.col("k")).cast("int"), F.lit(0))), 6).alias("recall"))
 
 
 def error_budget(spark, sf_dir):
@@ -351,7 +476,7 @@ def _broken(spark, sf_dir):
 
 def validate_lists(spark, sf_dir):
     r = records(spark, sf_dir)
-    return validate.validate_lists(_broken(spark, sf_dir), "matched_entity_ids", entities(spark, sf_dir).select("s1"), r.where("src <> 1").select(F.col("id").alias("tgt")))
+    return validate.validate_lists(_broken(spark, sf_dir), "matched_entity_ids", entities(spark, sf_dir).select("s1"), r.where("src <> 1").select(F.col("id").alias("tgt")), pool(spark, sf_dir).select("s1", F.col("t").alias("tgt")))
 
 
 def matches_not_candidates(spark, sf_dir):
@@ -378,7 +503,7 @@ def set_union(spark, sf_dir):
 
 def sample_rows(spark, sf_dir):
     """A seeded sample of n rows."""
-    return records(spark, sf_dir).select("id", F.xxhash64("id", F.lit(7)).alias("h")).orderBy("h", "id").limit(50).select("id")
+    return records(spark, sf_dir).select("id", F.md5(F.concat(F.lit("7:"), "id").cast("binary")).alias("h")).orderBy("h", "id").limit(50).select("id")
 
 
 def _model_rows(spark, sf_dir):
@@ -395,49 +520,20 @@ def fit_predict_logreg(spark, sf_dir):
 
 def fit_predict_gbt(spark, sf_dir):
     d, cols = _model_rows(spark, sf_dir)
-    return learn.predict(learn.fit(d, cols, "gbt", trees=10), d, "p").select("doc_id", F.round("p", 6).alias("p"))
-
-
-def two_stage(spark, sf_dir):
-    d, cols = _model_rows(spark, sf_dir)
-
-    def context(df):
-        own = Window.partitionBy("label_group")
-        return df.withColumn("label_group", F.col("doc_id") % 50).withColumn("p1_gap", F.max("p1").over(own) - F.col("p1")), ["p1", "p1_gap"]
-
-    return learn.two_stage(d, cols, "doc_id", context).select("doc_id", F.round("p", 6).alias("p"))
-
-
-def _whole(query):
-    def whole(spark, sf_dir):
-        return query(spark, Whole(sf_dir))
-
-    return whole
-
-
-#: Queries that show names, addresses or truth.
-ON_TEXTS = (scan_normalized, truth_explode, script_mix, name_tokens, addr_tokens)
-#: Queries that stand on the retrieval. Like the others, their SQL has the small values, so each has a second one, name_whole, without SQL.
-#: Not string_similarity and jaro_winkler: their Python loops grow with the square of a text (see the README).
-ON_POOL = (
-    key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut, filter_features, target_competition, s1_competition, p_context, core_frequency,
-    token_features, pair_flags, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size,
-    candidate_stats, rule_sweep, recall_at_k, error_budget, translit_vote, id_lists, validate_lists, matches_not_candidates,
-)
+    return learn.predict(learn.fit(d, cols, "gbt", trees=10, depth=5, least=5), d, "p").select("doc_id", F.round("p", 6).alias("p"))
 
 
 def queries() -> dict:
     own = (
         scan_normalized, truth_explode, split_entities, profile_tables, country_counts, script_mix, name_tokens, addr_tokens, legal_canonical, name_normalized,
-        address_normalized, rule_translit, phonetic_skeleton, url_domain_root, key_df_idf, blocking_scores, retrieve_topk_total, retrieve_union3, fixed_cut,
-        filter_features, target_competition, s1_competition, p_context, core_frequency, token_features, number_features, pair_flags, string_similarity,
-        jaro_winkler, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size, candidate_stats, rule_sweep,
-        decision_sweep, recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
-        set_union, sample_rows, fit_predict_logreg, fit_predict_gbt, two_stage,
+        address_normalized, party_names, party_addresses, rule_translit, has_native_letters, phonetic_skeleton, url_domain_root, key_df_idf, blocking_scores, retrieve_topk_total,
+        retrieve_union3, fixed_cut, filter_features, target_competition, s1_competition, p_context, core_frequency, token_features, number_features, pair_flags, featurize,
+        pair_token_features, candidate_context, string_similarity, jaro_winkler, label_pairs, two_stage, blocking_filter, model_comparison, translit_tokens, state_names, enriched,
+        file_profile, truth_profile, decision_errors, error_samples, one_to_one, select_threshold, select_expected_f, macro_fbeta, macro_fbeta_by_country, f_by_truth_size,
+        candidate_stats, rule_sweep, recall_at_k, error_budget, translit_vote, state_vote, id_lists, validate_lists, matches_not_candidates, semi_join, anti_join, set_difference,
+        set_union, sample_rows, fit_predict_logreg, fit_predict_gbt,
     )
-    of_keys = {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
-    twice = {f.__name__: f for f in ON_TEXTS + ON_POOL} | of_keys
-    return {f.__name__: f for f in own} | of_keys | {f"{name}_whole": _whole(f) for name, f in twice.items()}
+    return {f.__name__: f for f in own} | {f"blocking_keys_{k}": _keys(k) for k in blocking.FAMILIES}
 
 
 def oracle_sql() -> dict[str, str]:

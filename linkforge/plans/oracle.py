@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from linkforge.functions import keys, text
 from linkforge.operators.features import LEGAL_GROUPS
 
-CAP = 20
-THRESHOLDS = [0.1, 0.3, 0.5, 0.7, 0.9]
-DEPTHS = [1, 3, 5, 10]
+CAP, POOL_DEPTHS, CUT = 3000, (30, 15, 15), (10, 3, 3)
+RECALL_DEPTHS = [1, 3, 5, 10]
+#: The rules of the sweep: thresholds one-to-one and not, then expected F by miss mass and floor.
+SWEEP = [("threshold", unique, round(0.1 + 0.05 * k, 2), None, None) for unique in (True, False) for k in range(18)]
+SWEEP += [("expected_f", True, None, miss, floor) for miss in (0.0, 0.05, 0.1) for floor in (0.05, 0.2)]
+#: What names and addresses of the short records are made of.
+FORMS = [" Private Limited", " L L C", " d/b/a Red Café", " Société", " & Sons Services", ", M/s. O'Hara Trading Company", "\nSecond Line aka Blue Sky", " 5551234567"]
+STREETS = [" St., Apt #", " Rd No. ", " MG Road, Plot ", " Nagar opp. 3rd ", " Ave b"]
+STATES = ["Texas", "Kerala", "Ohio", "TG", "New York", "Tamil Nadu", "Paris"]
+COUNTRIES = ["US", "India", "France"]
+LATIN, NATIVE = "abcdefghijklmnopqrstuvwxyz", "कखगघङचछजझञटठडढणतथदधनपफबभमय"
+#: Features of a pair that SQL can express.
+PAIR_FEATURES = (
+    "n_jacc n_first_eq n_bag_eq n_ntok_a n_ntok_b acr_a_in_b acr_b_in_a legal_agree legal_conflict num_jacc num_unseen_b num_house_eq zip_agree b_script b_is_dom b_has_alt "
+    "a_ntok_a a_ntok_b state_agree a_empty_b b_phone_tok"
+).split()
 SUFFIXES = [" private limited", " l l c", " p l l c", " incorporated", " company limited", " Services of the Group", " corporation"]
 
 
@@ -52,11 +67,11 @@ def quantised(x: str, by: int, most: int) -> str:
 
 
 RECORDS = f"""rec0 as (select 'S' || (doc_id % 3 + 1) || '-' || doc_id as id, (doc_id % 3 + 1)::int as src, coalesce(lang, '') as country, doc_id, coalesce(text, '') as body,
-  array_to_string(({words(squeeze("string_split(coalesce(text, ''), chr(10))[1]"))})[1:12], ' ') as name,
-  array_to_string(({words(squeeze("substr(coalesce(text, ''), 200, 120)"))})[1:12], ' ') as addr from documents),
+  {squeeze("string_split(coalesce(text, ''), chr(10))[1]")} as name, '' as state,
+  {squeeze("case when instr(text, chr(10)) > 0 then substr(text, instr(text, chr(10)) + 1) else '' end")} as addr from documents),
 rec as (select *, {core("name")} as core from rec0)"""
 
-_at = "list_filter(string_split(addr, ' '), lambda w: w <> '' and w <> ',' and w <> '')"
+_at = "list_filter(string_split(addr, ' '), lambda w: w <> '' and w <> ',' and w <> state)"
 _at = f"list_transform({_at}, lambda w: regexp_replace({case(keys.ORDINALS, 'w')}, '^([0-9]+)(?:st|nd|rd|th)$', '\\1'))"
 _at = f"list_filter({_at}, lambda w: not list_contains({listed(keys.STOP)}, w) and (length(w) > 1 or regexp_matches(w, '^[0-9]+$')))"
 _at = f"flatten(list_transform({_at}, lambda w: case when regexp_matches(w, '^[a-z]*[0-9]+[a-z]*$') and not regexp_matches(w, '^[0-9]+$') then [w, regexp_extract(w, '([0-9]+)', 1)] else [w] end))"
@@ -83,17 +98,25 @@ SCORES = f"""sums as (select t.country, t.src, s.id as s1, t.id as t, {", ".join
   from keys t join stats using (country, src, fam, key) join keys s on s.src = 1 and s.country = t.country and s.fam = t.fam and s.key = t.key group by all),
 total as (select *, round(s_name + s_addr + s_cross, 6) as s_tot from sums),
 scores as (select *, {", ".join(f"(row_number() over (partition by country, src, s1 order by {quantised(c, 64, 2**20 - 1)} desc, {quantised('s_tot', 16, 4095)} desc, t) - 1)::int as {n}" for n, c in (("rank", "s_tot"), ("rank_name", "s_name"), ("rank_addr", "s_addr")))} from total)"""
-POOL = "pool as (select * from scores where rank < 5 and s_tot > 0 or rank_name < 3 and s_name > 0 or rank_addr < 3 and s_addr > 0)"
+def within(depths: tuple[int, int, int]) -> str:
+    return " or ".join(f"{rank} < {k} and {score} > 0" for rank, score, k in zip(("rank", "rank_name", "rank_addr"), ("s_tot", "s_name", "s_addr"), depths, strict=True))
+
+
+POOL = f"pool as (select * from scores where {within(POOL_DEPTHS)}), cuts_of_pool as (select * from pool where {within(CUT)})"
 SCORED = "scored as (select s1, src, t, round(s_tot / (s_tot + 60), 6) as p from pool)"
-TRUTH = """truth as (select a.id as s1, b.src, b.id as tgt from rec a join rec b on a.country = b.country and substr(a.body, 1, 60) = substr(b.body, 1, 60) and a.src = 1 and b.src <> 1),
+TRUTH = """truth as (select s1, src, id as tgt from rec join (select country, body, min(id) as s1 from rec where src = 1 and body <> '' group by all) using (country, body) where src <> 1),
 ents as (select id as s1, country from rec where src = 1)"""
 UNIQUE = "uniq as (select s1, src, t, p from (select *, row_number() over (partition by src, t order by p desc, s1) as rn from scored) where rn = 1)"
-CHOSEN = """kept as (select *, row_number() over w as j, sum(p) over (w rows unbounded preceding) as hits, sum(p) over (partition by s1) as total,
-  exp(sum(ln(1 - least(p, 1 - 1e-9))) over (partition by s1)) as none from uniq where p >= 0.05 window w as (partition by s1 order by p desc, src, t)),
-ef as (select *, round(1.25 * hits / (0.25 * total + j), 9) as ef from kept),
-best as (select *, max(ef) over (partition by s1) as best from ef),
-cuts as (select *, min(case when ef = best then j end) over (partition by s1) as cut from best),
-chosen as (select s1, src, t, t as tgt, p from cuts where best > round(none, 9) and j <= cut)"""
+def chosen(n: str, miss: float, floor: float) -> str:
+    return f"""kept{n} as (select *, row_number() over w as j, sum(p) over (w rows unbounded preceding) as hits, sum(p) over (partition by s1) + {miss} as total,
+  exp(sum(ln(1 - least(p, 1 - 1e-9))) over (partition by s1)) as none from uniq where p >= {floor} window w as (partition by s1 order by p desc, src, t)),
+ef{n} as (select *, round(1.25 * hits / (0.25 * total + j), 9) as ef from kept{n}),
+best{n} as (select *, max(ef) over (partition by s1) as best from ef{n}),
+cuts{n} as (select *, min(case when ef = best then j end) over (partition by s1) as cut from best{n}),
+chosen{n} as (select s1, src, t, t as tgt, p from cuts{n} where best > round(none, 9) and j <= cut)"""
+
+
+CHOSEN = chosen("", 0.0, 0.05)
 ENTITY = """marked as (select coalesce(a.s1, b.s1) as s1, a.tgt is not null as in_pred, b.tgt is not null as in_true from (select distinct s1, tgt from chosen) a full join (select distinct s1, tgt from truth) b on a.s1 = b.s1 and a.tgt = b.tgt),
 counts as (select s1, count(*) filter (in_pred) as n_pred, count(*) filter (in_true) as n_true, count(*) filter (in_pred and in_true) as tp from marked group by s1),
 entity as (select s1, country, coalesce(n_pred, 0) as n_pred, coalesce(n_true, 0) as n_true, coalesce(tp, 0) as tp,
@@ -103,6 +126,73 @@ SUMMARY = """round(avg(f), 6) as macro_f, round(sum(tp) / greatest(sum(n_pred),
   round(count(*) filter (n_true = 0 and n_pred = 0) / greatest(count(*) filter (n_true = 0), 1), 6) as singleton_acc, count(*) as n"""
 
 
+FOLD = "strip_accents(lower({}))"
+
+
+def _name() -> str:
+    """Normalised names of the short records, from the folded name s."""
+    plain = lambda x: f"trim(regexp_replace(regexp_replace({x}, {q(text.NON_WORD)}, ' ', 'g'), '\\s+', ' ', 'g'))"
+    held = lambda x, stop: f"array_to_string(list_filter({words(x)}, lambda w: not list_contains({listed(dict.fromkeys(stop))}, w)), ' ')"
+    alias = q(f"(?s)^(.*?)({text.ALIAS})(.*)$")
+    clean = "regexp_replace(regexp_replace(regexp_replace(x, '\\bm\\s*/\\s*s\\b', ' ', 'g'), '[''`´]', '', 'g'), '\\s*&\\s*|\\s*\\+\\s*', ' and ', 'g')"
+    return f"""folded as (select *, trim({FOLD.format("business_name")}) as s, {FOLD.format("business_address")} as fa from raw),
+dom as (select *, regexp_extract(s, {q(text.DOMAIN)}, 1) <> '' and not contains(s, ' ') as is_dom from folded),
+txt as (select *, case when is_dom then translate(regexp_extract(s, {q(text.DOMAIN)}, 1), '.-', '  ') else s end as x from dom),
+cleaned as (select * exclude (x), {clean} as x from txt),
+aliased as (select *, regexp_matches(x, {q(text.ALIAS)}) as has_alt, regexp_extract(x, {alias}, 1) as pre, regexp_extract(x, {alias}, 3) as post from cleaned),
+toks as (select *, {words(legal(plain("case when has_alt then pre || ' ' || post else x end")))} as tk from aliased),
+firsts as (select *, list_position(list_transform(tk, lambda t: list_contains({listed(text.HONORIFICS)}, t)), false) as first from toks),
+named as (select *, case when coalesce(first, 0) = 0 then '' else array_to_string(tk[first:], ' ') end as name, {held(legal(plain("case when has_alt then post else '' end")), text.LEGAL + text.FILLER)} as alt,
+  case when regexp_matches(s, '[a-zA-Z]') and regexp_matches(regexp_replace(s, '[\\x00-\\x7F]', '', 'g'), '\\p{{L}}') then 'M' when regexp_matches(regexp_replace(s, '[\\x00-\\x7F]', '', 'g'), '\\p{{L}}') then 'I' else 'L' end as script from firsts)"""
+
+
+def _address() -> str:
+    """Normalised addresses, from the folded address fa. What look-around says in Spark is said by groups, twice for neighbours."""
+    x = "translate(regexp_replace(regexp_replace(fa, '[''`´]', '', 'g'), '\\s*&\\s*|\\s*\\+\\s*', ' and ', 'g'), '#', ' ')"
+    for pattern in ("([a-z0-9])[-/.]([0-9])", "([0-9])[-.]([a-z])", "(^|[^\\p{L}\\p{N}_])0+(\\p{Nd})"):
+        for _ in range(2):
+            x = f"regexp_replace({x}, '{pattern}', '\\1\\2', 'g')"
+    plain = f"trim(regexp_replace(regexp_replace(c, {q(text.NON_WORD)}, ' ', 'g'), '\\s+', ' ', 'g'))"
+    us = text.US_STATES | {c: c for c in text.US_STATES.values()}
+    india = text.IN_STATES | {c: c for c in text.IN_STATES.values()} | text.IN_ALIASES
+    known = lambda v: f"list_contains({listed(v)}, c)"
+    code = f"case when land = 'us' and {known(us)} then {case(us, 'c')} when land = 'india' and {known(india)} then {case(india, 'c')} end"
+    street = f"list_filter(list_transform({words('c')}, lambda t: {case(text.STREET, 't')}), lambda t: t <> '')"
+    return f"""parted as (select *, lower(trim(coalesce(country, ''))) as land, list_filter(list_transform(string_split({x}, ','), lambda c: {plain}), lambda c: c <> '') as comps from named),
+coded as (select *, list_transform(comps, lambda c: coalesce({code}, c)) as ctext, list_filter(list_transform(comps, lambda c: {code}), lambda c: c is not null) as codes from parted),
+addressed as (select *, array_to_string(list_filter(list_transform(ctext, lambda c: array_to_string({street}, ' ')), lambda c: c <> ''), ' , ') as addr, coalesce(codes[len(codes)], '') as state from coded)"""
+
+
+def _parties() -> str:
+    nth = lambda values, n: f"{listed(values)}[({n} % {len(values)} + 1)::int]"
+    return f"""raw as (select 'S' || (p_partkey % 3 + 1) || '-' || p_partkey as id, (p_partkey % 3 + 1)::int as src, upper(p_name) || ' ' || p_brand || {nth(FORMS, "p_partkey")} as business_name,
+  case when p_partkey % 3 <> 0 and p_partkey % 29 = 0 then '' else '0' || (p_size * 37) || '-' || p_size || ' ' || upper(p_type) || {nth(STREETS, "p_partkey")} || p_size || ', ' || {nth(STATES, "p_size")} end as business_address,
+  {nth(COUNTRIES, "p_size")} as country, p_name || '|' || (p_size % 21) as kind from part),
+{_name()},
+{_address()},
+rec as (select id, src, country, kind, name, {core("name")} as core, alt, is_dom, script, addr, array_to_string(regexp_extract_all(addr, '\\p{{Nd}}+'), ' ') as nums, state from addressed),
+truth as (select s1, src, id as tgt from rec join (select country, kind, min(id) as s1 from rec where src = 1 group by all) using (country, kind) where src <> 1)"""
+
+
+def _sweep() -> str:
+    """All rules: each one's pairs, the measures of each query, and the best."""
+    expected = [(k, *r[3:]) for k, r in enumerate(SWEEP) if r[0] == "expected_f"]
+    preds = [f"select {k} as k, s1, t as tgt from {'uniq' if r[1] else 'scored'} where p >= {r[2]}" for k, r in enumerate(SWEEP) if r[0] == "threshold"]
+    preds += [f"select {k}, s1, tgt from chosen{k}" for k, _, _ in expected]
+    say = lambda x: "null" if x is None else q(x) if isinstance(x, str) else str(x).lower()
+    rules = ", ".join(f"({k}, {', '.join(map(say, r))})" for k, r in enumerate(SWEEP))
+    return f""", {", ".join(chosen(str(k), miss, floor) for k, miss, floor in expected)},
+preds as ({" union all ".join(preds)}),
+rules as (select k::int as k, kind, one_to_one, threshold::double as threshold, miss::double as miss, floor::double as floor from (values {rules}) v(k, kind, one_to_one, threshold, miss, floor)),
+of_pred as (select k, p.s1, count(*) as n_pred, count(t.tgt) as tp from preds p left join truth t on t.s1 = p.s1 and t.tgt = p.tgt group by k, p.s1),
+of_truth as (select s1, count(*) as n_true from truth group by s1),
+each as (select r.k, e.s1, coalesce(n_pred, 0) as n_pred, coalesce(n_true, 0) as n_true, coalesce(tp, 0) as tp,
+  case when coalesce(n_pred, 0) = 0 and coalesce(n_true, 0) = 0 then 1.0 else 1.25 * coalesce(tp, 0) / greatest(0.25 * coalesce(n_true, 0) + coalesce(n_pred, 0), 1e-12) end as f
+  from ents e cross join rules r left join of_pred p on p.k = r.k and p.s1 = e.s1 left join of_truth t on t.s1 = e.s1),
+judged as (select k, {SUMMARY} from each group by k)
+select judged.*, kind, one_to_one, threshold, miss, floor, k = (select k from judged order by macro_f desc, k limit 1) as best from judged join rules using (k)"""
+
+
 def top2(by: str, value: str, ties: str, prefix: str) -> str:
     order = f"(partition by {by} order by {value} desc, {ties}"
     whole = f"{order} rows between unbounded preceding and unbounded following)"
@@ -120,13 +210,63 @@ def _validate() -> str:
         "unknown_id": "select tgt as id from ids where tgt <> '' and tgt not in (select id from rec where src <> 1)",
         "missing_s1": "select s1 as id from ents where s1 not in (select s1 from lists)",
         "extra_s1": "select s1 as id from lists where s1 not in (select s1 from ents)",
+        "not_candidate": "select distinct on (s1, tgt) tgt as id from ids where tgt <> '' and (s1, tgt) not in (select (s1, t) from pool)",
+    }
+    say = lambda k: "warn" if k == "not_candidate" else "error"
+    every = " union all ".join(f"select '{k}' as finding, '{say(k)}' as severity, count(*) as n, coalesce(array_to_string(list_sort(list_distinct(list(id)))[1:5], ','), '') as examples from ({v})" for k, v in found.items())
+    return f""", whole as (select s1, coalesce(string_agg(distinct tgt, ',' order by tgt), '') as l from ents left join chosen using (s1) group by s1),
+lists as (select s1, case crc when 1 then l || ',S2-x,S2-x,,S1-0' when 2 then 'Q9' else l end as l from (select *, {{crc}} as crc from whole) where crc <> 0),
+ids as (select s1, unnest(string_split(l, ',')) as tgt from lists where l <> '') {every}"""
+
+
+def _of_parties(ctes: str, legal_of, shared, union, initials) -> dict[str, str]:
+    """Queries over the short records."""
+    native = lambda x: f"translate({x}, '{LATIN}', '{NATIVE}')"
+    side = lambda k: ", ".join(f"{k}.{c} as {c}_{k}" for c in ("name", "core", "addr", "nums", "state", "alt", "is_dom", "script", "at_"))
+    phone = "trim(regexp_replace({0}, '\\s*\\b[0-9]{{7,}}\\b', '', 'g'))"
+    strip = lambda x: f"case when {phone.format(x)} = '' then {x} else {phone.format(x)} end"
+    wa, wb, na, nb = "list_distinct(wa)", "list_distinct(wb)", "list_distinct(na)", "list_distinct(nb)"
+    both = "len(na) > 0 and len(nb) > 0"
+    flag = lambda known, value: f"case when {known} then ({value})::int::double else -1.0 end"
+    long = lambda x: f"list_filter({x}, lambda t: length(t) >= 5)"
+    features = {
+        "n_jacc": f"round({shared(wa, wb)} / greatest({union(wa, wb)}, 1), 6)", "n_first_eq": "coalesce(wa[1] = wb[1], false)::int::double", "n_bag_eq": "(list_sort(wa) = list_sort(wb))::int::double",
+        "n_ntok_a": "len(wa)::double", "n_ntok_b": "len(wb)::double", "acr_a_in_b": flag("len(wa) > 1", f"starts_with(array_to_string(wb, ''), {initials('wa')})"),
+        "acr_b_in_a": flag("len(wb) > 1", f"starts_with(array_to_string(wa, ''), {initials('wb')})"), "legal_agree": flag("len(ga) > 0 and len(gb) > 0", f"{shared('ga', 'gb')} > 0"),
+        "legal_conflict": f"(len(ga) > 0 and len(gb) > 0 and {shared('ga', 'gb')} = 0)::int::double", "num_jacc": f"case when {both} then round({shared(na, nb)} / {union(na, nb)}, 6) else -1.0 end",
+        "num_unseen_b": f"case when {both} then round((len({nb}) - {shared(na, nb)}) / len({nb}), 6) else -1.0 end", "num_house_eq": flag(both, "list_contains(nb, na[1]) or list_contains(na, nb[1])"),
+        "zip_agree": flag(f"{both} and len({long(na)}) > 0 and len({long(nb)}) > 0", f"{shared(long(na), long(nb))} > 0"), "b_script": "case script_b when 'I' then 1.0 when 'M' then 2.0 else 0.0 end::double",
+        "b_is_dom": "is_dom_b::int::double", "b_has_alt": "(alt_b <> '')::int::double", "a_ntok_a": "len(at__a)::double", "a_ntok_b": "len(at__b)::double",
+        "state_agree": flag("state_a <> '' and state_b <> ''", "state_a = state_b"), "a_empty_b": "(addr_b = '')::int::double",
+        "b_phone_tok": f"(len(list_filter({words('name_b')}, lambda w: regexp_matches(w, '^[0-9]{{7,}}$'))) > 0)::int::double",
+    }
+    value = {"s_total": "round(s_name + s_addr + s_cross, 6)", "n_tset": "floor(s_name)", "quick": "quick", "a_ptset": "(floor(s_addr) - 20)", "n_ratio": "s_cross"}
+    context = ", ".join(top2("s1, src", v, "t", f"c_{n}") for n, v in value.items())
+    return {
+        "party_names": ctes + "select id, name, core, alt, is_dom::tinyint as is_dom, script from rec",
+        "party_addresses": ctes + "select id, addr, nums, state from rec",
+        "has_native_letters": ctes + f"""select id, regexp_matches(case when src = 2 then {native("lower(business_name)")} else business_name end, '[ऀ-෿]') as native,
+            {strip("(business_address || ' 5551234567')")} as stripped, replace(regexp_replace(business_address, ',', ' ,', 'g'), ' , ', ' ') as flat from raw""",
+        "label_pairs": ctes + "select c.s1, c.src, c.t, (truth.s1 is not null)::int::double as label from cuts_of_pool c left join truth on truth.s1 = c.s1 and truth.tgt = c.t",
+        "jaro_winkler": ctes + f"select c.s1, c.src, c.t, round(jaro_winkler_similarity({strip('a.core')}, {strip('b.core')}), 6) as jw from cuts_of_pool c join rec a on a.id = c.s1 join rec b on b.id = c.t",
+        "file_profile": ctes + """select country, count(*) as n, count(distinct id) as ids, count(*) filter (not starts_with(id, 'S1-')) as bad_prefix, count(*) - count(distinct (business_name, business_address)) as repeats,
+            count(*) filter (business_address = '') as empty_addr, round(quantile_cont(length(business_name), 0.5), 3) as p50, round(quantile_cont(length(business_name), 0.99), 3) as p99 from raw group by rollup (country)""",
+        "candidate_context": ctes + f"""select s1, src, t, round(quick, 6) as quick, count(*) over (partition by s1, src) as c_n_cands, {context}, round(max(quick) over (partition by s1) - quick, 6) as c_quick_gap_all,
+            (row_number() over (partition by s1 order by quick desc, src, t) - 1)::int as c_quick_rank_all from (select *, (floor(s_name) + greatest(floor(s_addr) - 20, 0)) / 2 as quick from cuts_of_pool)""",
+        "pair_token_features": ctes + f"""select s1, src, t, {", ".join(f"{v} as {k}" for k, v in features.items())}, coalesce(f1.n, 0) as t_core_freq, coalesce(f2.n, 0) as s1core_t_freq, coalesce(f3.n, 0) as s1_core_freq
+            from (select *, {words("xa")} as wa, {words("xb")} as wb, {words("nums_a")} as na, {words("nums_b")} as nb, {legal_of("name_a")} as ga, {legal_of("name_b")} as gb
+              from (select c.s1, c.src, c.t, {side("a")}, {side("b")}, {strip("a.core")} as xa, {strip("b.core")} as xb from cuts_of_pool c
+                join (select rec.*, at_ from rec join tok using (id)) a on a.id = c.s1 join (select rec.*, at_ from rec join tok using (id)) b on b.id = c.t)) p
+            left join (select src, core, count(*) as n from rec where src <> 1 group by all) f1 on f1.src = p.src and f1.core = p.core_b
+            left join (select src, core, count(*) as n from rec where src <> 1 group by all) f2 on f2.src = p.src and f2.core = p.core_a
+            left join (select core, count(*) as n from rec where src = 1 group by all) f3 on f3.core = p.core_a""".replace("select s1, src, t,", "select p.s1, p.src, p.t,", 1),
     }
-    return " union all ".join(f"select '{k}' as finding, 'error' as severity, count(*) as n, coalesce(array_to_string(list_sort(list_distinct(list(id)))[1:5], ','), '') as examples from ({v})" for k, v in found.items())
 
 
 def oracle_sql() -> dict[str, str]:
     steps = [RECORDS, TOKENS, KEYS, STATS, SCORES, POOL, SCORED, TRUTH, UNIQUE, CHOSEN, ENTITY, PAIRS]
     ctes = "with " + ",\n".join(steps) + "\n"
+    of_parties = "with " + ",\n".join([_parties(), TOKENS, KEYS, STATS, SCORES, POOL]) + "\n"
     a, b = "list_distinct(wa)", "list_distinct(wb)"
     initials = lambda w: f"array_to_string(list_transform({w}, lambda x: substr(x, 1, 1)), '')"
     groups = LEGAL_GROUPS
@@ -145,9 +285,9 @@ def oracle_sql() -> dict[str, str]:
         "url_domain_root": f"select page_id, translate(regexp_extract(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), {q(text.DOMAIN)}, 1), '.-', '  ') as root from pages",
         "key_df_idf": "select country, src, fam, key, df, round(idf, 6) as idf from stats",
         "blocking_scores": "select src, s1, t, s_name, s_addr, s_cross, s_tot from scores",
-        "retrieve_topk_total": "select src, s1, t, s_tot, rank from scores where rank < 5 and s_tot > 0",
+        "retrieve_topk_total": f"select src, s1, t, s_tot, rank from scores where rank < {POOL_DEPTHS[0]} and s_tot > 0",
         "retrieve_union3": "select src, s1, t, s_tot, rank, rank_name, rank_addr from pool",
-        "fixed_cut": "select src, s1, t from pool where rank < 2 and s_tot > 0 or rank_name < 1 and s_name > 0",
+        "fixed_cut": "select src, s1, t from cuts_of_pool",
         "filter_features": f"select src, s1, t, x_gap as g_tot, y_gap as g_name, z_gap as g_addr, x_margin as m_tot, n_pool, t_n, t_margin, t_rank from (select *, {top2('s1, src', 's_tot', 't', 'x')}, {top2('s1, src', 's_name', 't', 'y')}, {top2('s1, src', 's_addr', 't', 'z')}, {top2('src, t', 's_tot', 's1', 't')}, count(*) over (partition by s1, src) as n_pool, count(*) over (partition by src, t) as t_n from pool)",
         "target_competition": f"select src, s1, t, t_n_s1, t_s_total_margin, t_s_total_rank from (select *, count(*) over (partition by src, t) as t_n_s1, {top2('src, t', 's_tot', 's1', 't_s_total')} from pool)",
         "s1_competition": f"select src, s1, t, count(*) over (partition by s1, src) as c_n_cands, {top2('s1, src', 's_tot', 't', 'c_s_tot')} from pool",
@@ -164,17 +304,15 @@ def oracle_sql() -> dict[str, str]:
         "pair_flags": f"""select src, s1, t, case when len(ga) > 0 and len(gb) > 0 then ({shared('ga', 'gb')} > 0)::int::double else -1.0 end as legal_agree, (len(ga) > 0 and len(gb) > 0 and {shared('ga', 'gb')} = 0)::int::double as legal_conflict,
             case when addr_a <> '' and addr_b <> '' then (substr(addr_a, 1, 2) = substr(addr_b, 1, 2))::int::double else -1.0 end as state_agree, (len(list_filter({words('name_b')}, lambda w: regexp_matches(w, '^[0-9]{{7,}}$'))) > 0)::int::double as b_phone_tok, (addr_b = '')::int::double as a_empty_b
             from (select *, {legal_of('name_a')} as ga, {legal_of('name_b')} as gb from pairs)""",
-        "jaro_winkler": "select src, s1, t, round(jaro_winkler_similarity(regexp_replace(core_a, '[^ -~]', '', 'g'), regexp_replace(core_b, '[^ -~]', '', 'g')), 6) as jw from pairs",
         "one_to_one": "select * from uniq",
         "select_threshold": "select s1, src, t, p from (select *, row_number() over (partition by src, t order by p desc, s1) as rn from scored where p >= 0.5) where rn = 1",
         "select_expected_f": "select s1, src, t, p from chosen",
         "macro_fbeta": f"select {SUMMARY} from entity",
-        "macro_fbeta_by_country": f"select country, {SUMMARY} from entity group by country",
+        "macro_fbeta_by_country": f"select country, {SUMMARY} from entity group by rollup (country)",
         "f_by_truth_size": "select least(n_true, 8) as size, round(avg(f), 6) as f, count(*) as n from entity group by 1",
         "candidate_stats": """select round(avg(n), 6) as mean, quantile_cont(n, 0.5) as median, round(quantile_cont(n, 0.9), 6) as p90, round(quantile_cont(n, 0.95), 6) as p95, max(n) as most, round(avg((n = 0)::int), 6) as none,
             (select round(avg(hit), 6) from hits) as pair_recall, (select round(avg(full_hit), 6) from (select min(hit) as full_hit from hits group by s1)) as full_recall from sizes""",
-        "rule_sweep": f"select rule::double as rule, count(*) as n_pred, count(t.tgt) as tp from uniq u join (select unnest({THRESHOLDS}) as rule) r on u.p >= r.rule left join truth t on t.s1 = u.s1 and t.tgt = u.t group by 1",
-        "recall_at_k": f"select k, round(avg(coalesce(rank < k, false)::int), 6) as recall from truth left join scores s on s.s1 = truth.s1 and s.t = truth.tgt, (select unnest({DEPTHS})::int as k) group by k",
+        "recall_at_k": f"select k, round(avg(coalesce(rank < k, false)::int), 6) as recall from truth left join scores s on s.s1 = truth.s1 and s.t = truth.tgt, (select unnest({RECALL_DEPTHS})::int as k) group by k",
         "error_budget": """select case when max(a) = 1 then case when max(c) = 1 then 'tp' when max(b) = 1 then 'fn_rejected' else 'fn_blocking' end when max(c) = 1 then 'fp' else 'tn' end as kind from
             (select s1, tgt, 1 as a, 0 as b, 0 as c from truth union all select s1, t, 0, 1, 0 from pool union all select s1, tgt, 0, 0, 1 from chosen) group by s1, tgt""",
         "translit_vote": f"""select b, a, n from (select *, sum(n) over (partition by b) as total, row_number() over (partition by b order by n desc, a) as rn from (select a, b, count(*) as n from
@@ -184,12 +322,27 @@ def oracle_sql() -> dict[str, str]:
         "matches_not_candidates": "select distinct s1, tgt from truth where (s1, tgt) not in (select (s1, t) from pool)",
         **{f"blocking_keys_{f}": f"select id, key from keys where fam = '{f}'" for f in ("name", "addr", "cross")},
     }
+    out["truth_profile"] = """select sum(n)::bigint as n_pairs, count(*) as n_s1, count(*) filter (n = 0) as n_single, round(count(*) filter (n = 0) / count(*), 6) as single_rate, max(n) as most,
+        (select count(*) from (select tgt from truth group by tgt having count(distinct s1) > 1)) as n_shared from (select ents.s1, count(distinct tgt) as n from ents left join truth using (s1) group by ents.s1)"""
+    out["decision_errors"] = """select coalesce(c.s1, t.s1) as s1, coalesce(c.tgt, t.tgt) as tgt, case when t.s1 is null then 'fp' when p.s1 is null then 'fn_blocking' else 'fn_rejected' end as kind
+        from (select distinct s1, tgt from chosen) c full join (select distinct s1, tgt from truth) t on c.s1 = t.s1 and c.tgt = t.tgt left join pool p on p.s1 = coalesce(c.s1, t.s1) and p.t = coalesce(c.tgt, t.tgt)
+        where c.s1 is null or t.s1 is null"""
+    out["sample_rows"] = "select id from rec order by md5('7:' || id), id limit 50"
+    skeleton = "lower(word)"
+    for pattern, to in text.PHONETIC:  # look-ahead as a group
+        ahead = re.fullmatch(r"(.*)\(\?=(\[\w+\])\)", pattern)
+        pattern, to = (f"{ahead[1]}({ahead[2]})", to + "\\1") if ahead else (pattern, to.replace("$", "\\"))
+        skeleton = f"regexp_replace({skeleton}, {q(pattern)}, {q(to)}, 'g')"
+    out["phonetic_skeleton"] = f"""select word, array_to_string(list_filter(chars, lambda c, i: i = 1 or c <> chars[i - 1]), '') as skeleton from (select word, string_split(regexp_replace(substr(s, 1, 1), '[aeiouy]', 'a') || regexp_replace(substr(s, 2), '[aeiouy]+', '', 'g'), '') as chars
+        from (select word, {skeleton} as s from (select distinct unnest({words("regexp_replace(core, '[^a-z ]', '', 'g')")}) as word from rec)))"""
     out["error_budget"] = f"select kind, count(*) as n from ({out['error_budget']}) group by kind"
     sizes = ", sizes as (select s1, count(distinct t) as n from ents left join pool using (s1) group by s1), hits as (select truth.s1, (pool.t is not null)::int as hit from truth left join pool on pool.s1 = truth.s1 and pool.t = truth.tgt)"
     full = {k: (ctes.rstrip() + (sizes if k == "candidate_stats" else "") + "\n" if k not in ("profile_tables", "url_domain_root", "number_features", "state_vote") else "") + v for k, v in out.items()}
     name = f"lower(p_name) || {listed(SUFFIXES)}[(p_partkey % {len(SUFFIXES)} + 1)::int]"
     word = "[^\\p{L}\\p{N}_ऀ-ॣ०-෿]+"
     legal_sql = legal(f"trim(regexp_replace(regexp_replace({name}, '{word}', ' ', 'g'), '\\s+', ' ', 'g'))")
+    full["rule_sweep"] = ctes.rstrip() + _sweep()
+    full |= _of_parties(of_parties, legal_of, shared, union, initials)
     full |= {
         "legal_canonical": f"select p_partkey, legal, {core('legal')} as core from (select p_partkey, {legal_sql} as legal from part)",
         "semi_join": "select o_orderkey, o_custkey from orders where o_orderkey in (select l_orderkey from lineitem where l_quantity > 45)",

@@ -94,7 +94,7 @@ def test_stream_of_arrivals(spark, tmp_path):
     r = catalogue.records(spark, SF).drop("body")
     targets = r.where("src <> 1")
     keys = blocking.postings(targets)
-    index = keys.join(blocking.key_stats(keys, targets, 20).drop("df"), ["country", "src", "fam", "key"])
+    index = keys.join(blocking.key_stats(keys, targets, catalogue.CAP).drop("df"), ["country", "src", "fam", "key"])
     r.where("src = 1").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(r.schema).parquet(str(tmp_path / "in"))
     seen = []
