@@ -4,12 +4,14 @@ Every run of three consecutive lines that are not blank is hashed (128 bits). A
 again, in any document, is kept where it occurs first (least doc_id, then place) and covered
 elsewhere; covered windows are merged, blank lines inside them too, and the lines that they cover go.
 
-Counts are combined before they are shuffled, and the join back to the windows may be split by the
-optimiser, so a window that a third of all documents hold does not meet in one task.
+Counts are combined before they are shuffled, and the joins back to the windows and texts may be split
+by the optimiser, so a window that a third of all documents hold does not meet in one task.
 
 Defined results: a null text stays null; an empty text and one of fewer than three lines that are
 not blank stay as they are; rows that repeat a doc_id and its text are one occurrence; rows of a
-null doc_id come first in order; other columns are handed through.
+null doc_id come first in order; ties of place cannot be, for equal rows are one; a very long text makes
+one row for each window; an empty table gives no rows; other columns are handed through, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import pieces, text_or_empty
+from linkforge.llm.common import cut, pieces, text_or_empty
 
 WINDOW = 3
 #: A line of these alone is blank.
@@ -55,7 +57,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, mark, covered): the lines, from 0, that later occurrences of windows cover; ``mark`` is xxhash64 of the text."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = _windows(rows.where("instr(text, '\n') > 0"), width)
+    found = cut(_windows(rows.where("instr(text, '\n') > 0"), width))
     place = F.struct("id", "mark", "first")
     again = found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("h1", "h2", "least")
     later = found.join(again, ["h1", "h2"]).where(F.col("least") != place)
