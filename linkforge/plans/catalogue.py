@@ -470,8 +470,8 @@ def id_lists(spark, sf_dir):
 
 def _broken(spark, sf_dir):
     lists = id_lists(spark, sf_dir)
-    k = F.pmod(F.crc32(F.col("s1").cast("binary")), F.lit(11))
-    return lists.where(k != 0).select("s1", F.when(k == 1, F.concat("matched_entity_ids", F.lit(",S2-x,S2-x,,S1-0"))).when(k == 2, F.lit("Q9")).otherwise(F.col("matched_entity_ids")).alias("matched_entity_ids"))
+    k = F.substring(F.md5(F.col("s1").cast("binary")), 1, 1)
+    return lists.where(k != "0").select("s1", F.when(k == "1", F.concat("matched_entity_ids", F.lit(",S2-x,S2-x,,S1-0"))).when(k == "2", F.lit("Q9")).otherwise(F.col("matched_entity_ids")).alias("matched_entity_ids"))
 
 
 def validate_lists(spark, sf_dir):

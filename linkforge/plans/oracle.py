@@ -215,7 +215,7 @@ def _validate() -> str:
     say = lambda k: "warn" if k == "not_candidate" else "error"
     every = " union all ".join(f"select '{k}' as finding, '{say(k)}' as severity, count(*) as n, coalesce(array_to_string(list_sort(list_distinct(list(id)))[1:5], ','), '') as examples from ({v})" for k, v in found.items())
     return f""", whole as (select s1, coalesce(string_agg(distinct tgt, ',' order by tgt), '') as l from ents left join chosen using (s1) group by s1),
-lists as (select s1, case crc when 1 then l || ',S2-x,S2-x,,S1-0' when 2 then 'Q9' else l end as l from (select *, {{crc}} as crc from whole) where crc <> 0),
+lists as (select s1, case k when '1' then l || ',S2-x,S2-x,,S1-0' when '2' then 'Q9' else l end as l from (select *, substr(md5(s1), 1, 1) as k from whole) where k <> '0'),
 ids as (select s1, unnest(string_split(l, ',')) as tgt from lists where l <> '') {every}"""
 
 
@@ -341,6 +341,7 @@ def oracle_sql() -> dict[str, str]:
     name = f"lower(p_name) || {listed(SUFFIXES)}[(p_partkey % {len(SUFFIXES)} + 1)::int]"
     word = "[^\\p{L}\\p{N}_ऀ-ॣ०-෿]+"
     legal_sql = legal(f"trim(regexp_replace(regexp_replace({name}, '{word}', ' ', 'g'), '\\s+', ' ', 'g'))")
+    full["validate_lists"] = ctes.rstrip() + _validate()
     full["rule_sweep"] = ctes.rstrip() + _sweep()
     full |= _of_parties(of_parties, legal_of, shared, union, initials)
     full |= {
