@@ -55,7 +55,7 @@ def parties(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("*", (F.col("p_partkey") % 3 + 1).cast("int").alias("src"))
     nth = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
     size, country = F.col("p_size").cast("string"), nth(oracle.COUNTRIES, F.col("p_size"))
-    name = F.concat(F.upper("p_name"), F.lit(" "), "p_brand", nth(oracle.FORMS, F.col("p_partkey")))
+    name = F.concat(F.upper("p_name"), F.lit(" "), F.replace("p_brand", F.lit("Brand#"), F.lit("B")), nth(oracle.FORMS, F.col("p_partkey")))
     addr = F.concat(F.lit("0"), (F.col("p_size") * 37).cast("string"), F.lit("-"), size, F.lit(" "), F.upper("p_type"), nth(oracle.STREETS, F.col("p_partkey")), size, F.lit(", "), nth(oracle.STATES, F.col("p_size")))
     addr = F.when((F.col("src") != 1) & (F.col("p_partkey") % 29 == 0), "").otherwise(addr)
     return p.select(

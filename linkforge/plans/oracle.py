@@ -165,7 +165,7 @@ addressed as (select *, array_to_string(list_filter(list_transform(ctext, lambda
 
 def _parties() -> str:
     nth = lambda values, n: f"{listed(values)}[({n} % {len(values)} + 1)::int]"
-    return f"""raw as (select 'S' || (p_partkey % 3 + 1) || '-' || p_partkey as id, (p_partkey % 3 + 1)::int as src, upper(p_name) || ' ' || p_brand || {nth(FORMS, "p_partkey")} as business_name,
+    return f"""raw as (select 'S' || (p_partkey % 3 + 1) || '-' || p_partkey as id, (p_partkey % 3 + 1)::int as src, upper(p_name) || ' ' || replace(p_brand, 'Brand#', 'B') || {nth(FORMS, "p_partkey")} as business_name,
   case when p_partkey % 3 <> 0 and p_partkey % 29 = 0 then '' else '0' || (p_size * 37) || '-' || p_size || ' ' || upper(p_type) || {nth(STREETS, "p_partkey")} || p_size || ', ' || {nth(STATES, "p_size")} end as business_address,
   {nth(COUNTRIES, "p_size")} as country, p_name || '|' || (p_size % 21) as kind from part),
 {_name()},
