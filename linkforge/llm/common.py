@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,21 +12,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that all executors share.
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where it is unset (as in tests) a
-    folder of this machine is taken, and only for a local master.
+    Only where it is unset (as in tests) a folder of this machine is taken, and only for a local master.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         configured = sc.getConf().get("spark.checkpoint.dir", "")
         if not configured and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the executors share")
         sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "linkforge-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a table in the shared folder, smaller than a checkpoint; columns without a type are nulls again."""
+    path = os.path.join(folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    typed = [f.name for f in df.schema if f.dataType.typeName() != "void"]
+    df.select(*typed).write.parquet(path)
+    back = df.sparkSession.read.schema(df.select(*typed).schema).parquet(path)
+    return back.select(*[F.col(c) if c in typed else F.lit(None).alias(c) for c in df.columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

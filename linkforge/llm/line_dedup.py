@@ -1,31 +1,49 @@
-"""Line dedup by overlapping three-line windows.
+"""Line dedup by overlapping three-line windows, then by overlapping windows of 51 words.
 
 Every run of three consecutive lines that are not blank is hashed (128 bits). A window that occurs
 again, in any document, is kept where it occurs first (least doc_id, then place) and covered
 elsewhere; covered windows are merged, blank lines inside them too, and the lines that they cover go.
 
+What the lines leave is searched for passages that lie in one or two lines, or that start or end inside
+a line: a window of 51 words that an earlier document holds as well (least doc_id; white space is not
+compared) is covered, covered windows are merged, and their words go, each with the white space before
+it. The document that holds a passage first keeps all of it; repeats within a document are no passages.
+Windows are not hashed for all texts: each stands for the least hash of its 17-word shingles, a function
+of the window, so only windows whose least hash another document has too can repeat; few texts are
+read again for them, and nothing is missed.
+
 Counts are combined before they are shuffled, and the joins back to the windows and texts may be split
 by the optimiser, so a window that a third of all documents hold does not meet in one task.
 
 Defined results: a null text stays null; an empty text and one of fewer than three lines that are
-not blank stay as they are; rows that repeat a doc_id and its text are one occurrence; rows of a
-null doc_id come first in order; ties of place cannot be, for equal rows are one; a very long text makes
-one row for each window; an empty table gives no rows; other columns are handed through, whatever their
-names.
+not blank, or 51 words, stay as they are; rows that repeat a doc_id and its text are one occurrence; rows
+of a null doc_id come first in order; ties of place cannot be, for equal rows are one; a very long text
+makes one row for each window; an empty table gives no rows; other columns are handed through, whatever
+their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
-from linkforge.llm.common import cut, pieces, text_or_empty
+from linkforge.llm.common import cut, join_small, pieces, stored, text_or_empty
+from linkforge.llm.shingles import mix, runs, word_hashes
 
 WINDOW = 3
+#: Words of the shortest passage.
+PASSAGE = 51
+#: Ids of documents are broadcast up to this many rows.
+SMALL = 300_000
+WORD = re.compile(r"[^ \t-\r]+")
 #: A line of these alone is blank.
 BLANK = " \t\r\v\f"
 
@@ -68,8 +86,82 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, removed_col: str | None = None) -> DataFrame:
-    """``docs`` with the text cut; with ``removed_col`` also the covered lines (empty: none), replacing a column of that name."""
+def least_hashes(hashes: np.ndarray, words: int = PASSAGE) -> np.ndarray:
+    """For each window of ``words`` the least hash of its shingles of a third of them."""
+    if len(hashes) < words:
+        return np.empty(0, np.uint64)
+    shingle = max(1, words // 3)
+    least, have, want = runs(hashes, shingle), 1, words - shingle + 1
+    while have < want:
+        step = min(have, want - have)
+        least, have = np.minimum(least[:-step], least[step:]), have + step
+    return least
+
+
+def _signs(texts: DataFrame, words: int) -> DataFrame:
+    """(doc, sign): the distinct least hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            own = [np.unique(least_hashes(word_hashes(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
+            docs = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(own), pa.int64())], ["doc", "sign"])
+
+    return texts.mapInArrow(run, "doc long, sign long")
+
+
+def _passages(texts: DataFrame, words: int) -> DataFrame:
+    """(id, mark, at, h1, h2) of the windows whose least hash is among the text's ``signs``; places in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            for doc, mark, text, signs in zip(*batch.columns, strict=True):
+                hashes = word_hashes(text.as_py())
+                at = np.flatnonzero(np.isin(least_hashes(hashes, words).view(np.int64), np.array(signs.as_py(), np.int64)))
+                if not len(at):
+                    continue
+                both = [runs(x, words)[at].view(np.int64) for x in (hashes, mix(hashes, 1))]
+                kinds = [pa.array([x.as_py()] * len(at), pa.int64()) for x in (doc, mark)]
+                yield pa.RecordBatch.from_arrays([*kinds, pa.array(at, pa.int32()), *[pa.array(x, pa.int64()) for x in both]], ["id", "mark", "at", "h1", "h2"])
+
+    return texts.mapInArrow(run, "id long, mark long, at int, h1 long, h2 long")
+
+
+def repeated_passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too."""
+    doc = F.xxhash64("id", "mark").alias("doc")
+    signs = stored(_signs(texts.select(doc, "text"), words))
+    met = signs.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("sign")
+    lists = cut(signs.join(met, "sign").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
+    few = join_small(texts.select("id", "mark", "text", doc), lists.select("doc"), ["doc"], "left_semi", lists.count(), SMALL)
+    found = cut(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words))
+    holder = F.struct("id", "mark")
+    again = found.groupBy("h1", "h2").agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most").select("h1", "h2", "least")
+    later = found.join(again, ["h1", "h2"]).where(F.col("least") != holder)
+    return later.groupBy("id", "mark").agg(F.collect_set("at").alias("starts"))
+
+
+def without(text: str, starts: list[int], words: int = PASSAGE) -> tuple[str, int]:
+    """``text`` without the windows of words that begin at ``starts``, and how many words went."""
+    gone = {k for i in starts for k in range(i, i + words)}
+    out, end = [], 0
+    for k, m in enumerate(WORD.finditer(text)):
+        if k not in gone:
+            out.append(text[end : m.end()])
+        end = m.end()
+    return "".join(out) + text[end:], len(gone)
+
+
+def _without(text: Column, starts: Column, words: int) -> Column:
+    @pandas_udf("text string, words long")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([without(t, list(x), words) for t, x in zip(texts, lists, strict=True)], columns=["text", "words"])
+
+    return run(text, starts)
+
+
+def _line_cut(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(row, id, mark, covered, text): the rows, their covered lines (null: none) and what is left of their texts."""
     columns = docs.columns
     whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("mark"))
     covered = repeated_lines(docs, id_col, text_col, width).select(F.col("id").alias("of"), F.col("mark").alias("as"), "covered")
@@ -77,8 +169,38 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = F.split(F.col("row")[text_col], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
     text = F.when(F.col("covered").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
-    both = both.withColumn("lines", F.when(F.col("covered").isNotNull(), lines))
-    out = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns if c != removed_col]
+    return both.withColumn("lines", F.when(F.col("covered").isNotNull(), lines)).select("row", "id", "mark", "covered", text.cast("string").alias("text"))
+
+
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, removed_col: str | None = None, words: int | None = PASSAGE, words_col: str | None = None) -> DataFrame:
+    """``docs`` with the text cut; ``words`` None: by lines alone.
+
+    With ``removed_col`` also the covered lines (empty: none), with ``words_col`` the number of words that
+    went as passages, each replacing a column of that name.
+    """
+    columns = docs.columns
+    rest = _line_cut(docs, id_col, text_col, width)
+    fields = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns) if c != text_col]
+    rest = rest.select("id", "mark", "text", F.coalesce("covered", F.array().cast("array<int>")).alias("covered"), *fields)
+    none = F.lit(0).cast("long")
+    if words is None:
+        rest = rest.withColumn("went", none)
+    else:
+        rest = stored(rest)
+        passages = cut(repeated_passages(rest.where(F.length("text") >= 2 * words - 1).select("id", "mark", "text"), words))
+        doc, rows = F.xxhash64("id", "mark").alias("doc"), passages.count()
+        keyed, of = rest.select("*", doc), passages.select(doc)
+        same = join_small(keyed, of, ["doc"], "left_anti", rows, SMALL).withColumn("went", none).drop("doc")
+        own = passages.select(F.col("id").alias("of"), F.col("mark").alias("as"), "starts")
+        hit = join_small(keyed, of, ["doc"], "left_semi", rows, SMALL).join(own, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left")
+        after = hit.withColumn("after", _without(F.col("text"), F.coalesce("starts", F.array().cast("array<int>")), words))
+        rest = same.unionByName(after.withColumn("text", F.col("after.text")).withColumn("went", F.col("after.words")).drop("doc", "of", "as", "starts", "after"))
+    out = []
+    for i, c in enumerate(columns):
+        if c not in (removed_col, words_col):
+            out.append((F.col("text") if c == text_col else F.col(f"c{i}")).alias(c))
     if removed_col:
-        out.append(F.coalesce("covered", F.array().cast("array<int>")).alias(removed_col))
-    return both.select(*out)
+        out.append(F.col("covered").alias(removed_col))
+    if words_col:
+        out.append(F.col("went").alias(words_col))
+    return rest.select(*out)

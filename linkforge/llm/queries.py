@@ -50,8 +50,8 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long")
-    cut = line_dedup.line_dedup(docs.withColumn("n_lines", lines), removed_col="removed")
-    return cut.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    cut = line_dedup.line_dedup(docs.withColumn("n_lines", lines), removed_col="removed", words_col="n_words_cut")
+    return cut.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), "n_words_cut", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 #: From a table of factors, recall and rows compared: see the README.
@@ -167,9 +167,17 @@ runs as (select doc_id, i as first, lead(i, 2) over w as last, line || chr(10) |
 placed as (select *, row_number() over (partition by run order by doc_id, first) as nth from runs where last is not null),
 covered as (select distinct doc_id, unnest(range(first, last + 1)) as i from placed where nth > 1),
 gone as (select doc_id, count(*) as n, string_agg(i::varchar, ',' order by i) as removed from covered group by doc_id),
-kept as (select doc_id, string_agg(line, chr(10) order by i) as text from numbered anti join covered using (doc_id, i) group by doc_id)
-select d.doc_id, len(lines)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed, sha256(coalesce(k.text, '')) as text_sha256
-from docs d left join gone using (doc_id) left join kept k using (doc_id)"""
+kept as (select doc_id, string_agg(line, chr(10) order by i) as text from numbered anti join covered using (doc_id, i) group by doc_id),
+split as (select doc_id, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+') as spaced, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, regexp_extract(text, '[\x20\x09-\x0D]*$') as tail from kept),
+passages as (select doc_id, i, array_to_string(w[i:i + 50], ' ') as run from (select doc_id, w, unnest(range(1, len(w) - 49)) as i from split)),
+firsts as (select run, min(doc_id) as least from passages group by run having min(doc_id) <> max(doc_id)),
+cut_words as (select distinct p.doc_id, unnest(range(i, i + 51)) as k from passages p join firsts using (run) where p.doc_id <> least),
+cut_counts as (select doc_id, count(*) as n_cut from cut_words group by doc_id),
+pieces as (select doc_id, unnest(spaced) as piece, generate_subscripts(spaced, 1) as k from split),
+left_over as (select doc_id, string_agg(piece, '' order by k) as text from pieces anti join cut_words using (doc_id, k) group by doc_id)
+select d.doc_id, len(lines)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, coalesce(n_cut, 0)::bigint as n_words_cut, coalesce(removed, '') as removed,
+  sha256(coalesce(l.text, '') || coalesce(tail, '')) as text_sha256
+from docs d left join gone using (doc_id) left join split using (doc_id) left join left_over l using (doc_id) left join cut_counts using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:

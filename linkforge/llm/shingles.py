@@ -56,6 +56,22 @@ def shingle_set(text: str, width: int) -> np.ndarray:
         return np.unique(mix(value))
 
 
+def word_hashes(text: str) -> np.ndarray:
+    """The hash of each word, as it is written."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    return np.fromiter(map(_words.__getitem__, words), U, len(words))
+
+
+def runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of ``width`` words."""
+    n = max(0, len(hashes) - width + 1)
+    value = np.zeros(n, U)
+    with np.errstate(over="ignore"):
+        for i in range(width):
+            value += hashes[i : i + n] * _ODD[i % 4] * U(2 * (i // 4) + 1)
+    return mix(value)
+
+
 def parities(columns: np.ndarray) -> bytes:
     """A bit for each of 2^k >= len places: whether an odd number of columns fall there."""
     n = len(columns)

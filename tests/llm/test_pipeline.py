@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from linkforge.llm import packing, queries, secret_scans, toxicity
-from tests.llm.test_texts import brute_components, brute_lines, check_packing
+from tests.llm.test_texts import brute_components, brute_lines, brute_passages, check_packing
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,7 +14,7 @@ def test_run_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = queries.toxicity_model(spark, SF)
     rows = [r for r in docs.orderBy("doc_id").collect() if model.score(r["text"] or "") < 0.7]
-    texts = dict(zip([r["doc_id"] for r in rows], brute_lines([r["text"] for r in rows]), strict=True))
+    texts = dict(zip([r["doc_id"] for r in rows], [t for t, _ in brute_passages(brute_lines([r["text"] for r in rows]))], strict=True))
     before = {r["doc_id"]: r["text"] for r in rows}
     texts = {i: t for i, t in texts.items() if (t or "").strip(" \t\r\n\v\f") or t == before[i]}
     ids = sorted(texts)

@@ -330,6 +330,52 @@ def brute_lines(texts):
     return out
 
 
+def brute_passages(texts, words=51):
+    """(text, words that went): windows of words that an earlier text holds too go, each word with the white space before it."""
+    first, out = {}, []
+    for n, t in enumerate(texts):
+        own = line_dedup.WORD.findall(t or "")
+        for k in range(len(own) - words + 1):
+            first.setdefault(tuple(own[k : k + words]), n)
+    for n, t in enumerate(texts):
+        own = list(line_dedup.WORD.finditer(t or ""))
+        gone = set()
+        for k in range(len(own) - words + 1):
+            if first[tuple(m[0] for m in own[k : k + words])] != n:
+                gone |= set(range(k, k + words))
+        ends = [0] + [m.end() for m in own]
+        out.append((t if t is None else "".join(t[ends[k] : ends[k + 1]] for k in range(len(own)) if k not in gone) + t[ends[-1] :], len(gone)))
+    return out
+
+
+def test_passages(spark):
+    """Planted passages within, across and at the ends of lines; 50 words stay, and so do repeats within a text."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(4))
+    prose = lambda n: [word() for _ in range(n)]
+    long, short = prose(70), prose(50)
+    texts = [*ODD, None, ""]
+    for k in range(12):
+        a, b = prose(r.randrange(0, 40)), prose(r.randrange(0, 40))
+        part = long[r.randrange(0, 10) : 70 - r.randrange(0, 10)]
+        gap = lambda: r.choice([" ", " ", "\n", "  "])
+        texts += ["".join(w + gap() for w in a + part + b), " ".join(a + short + b[:1]) + "\n"]
+    texts += ["the " * 200, "x " + "the " * 60, "w " * 51 + "w", " ".join(long), " ".join(long * 3), " ".join(prose(30000) + long)]
+    df = table(spark, texts).withColumn("covered", F.lit(None)).withColumn("ID", F.lit(1)).withColumn("c1", F.lit("x"))
+    got = line_dedup.line_dedup(df, words_col="went")
+    assert got.columns == [*df.columns, "went"]
+    rows = {x["doc_id"]: (x["text"], x["went"]) for x in got.collect()}
+    want = brute_passages(brute_lines(texts))
+    assert [rows[i] for i in range(len(texts))] == want
+    assert sum(n > 50 for _, n in want) > 10
+    few = [" ".join(r.choice("ab") for _ in range(r.randrange(0, 12))) for _ in range(40)]
+    rows = {x["doc_id"]: x["text"] for x in line_dedup.line_dedup(table(spark, few), words=5).collect()}
+    assert [rows[i] for i in range(len(few))] == [t for t, _ in brute_passages(few, 5)]
+    twice = spark.createDataFrame([(None, " ".join(long)), (1, " ".join(long)), (1, " ".join(long)), (1, "y " + " ".join(long))], "doc_id long, text string")
+    assert sorted(map(tuple, line_dedup.line_dedup(twice).collect()), key=str) == sorted([(None, " ".join(long)), (1, ""), (1, ""), (1, "y")], key=str)
+    assert line_dedup.line_dedup(twice, words=None).count() == 4
+
+
 def test_line_dedup(spark):
     r = random.Random(9)
     texts = [*ODD, "a\nb\nc", "x\na\nb\n\nc\ny", "a\nb\nc\na\nb\nc", "same\nsame\nsame\nsame", "a\nb\nc"]
