@@ -40,14 +40,14 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of three-line windows go; a document of which nothing is left goes too.
+    """Later occurrences of three-line windows and of 51-word passages go; a document of which nothing is left goes too.
 
     Null, empty and blank texts that were so before stay; rows that repeat a doc_id and its text are cut alike.
     """
-    removed = _fresh(docs, "removed")
+    removed, went = _fresh(docs, "removed"), _fresh(docs, "went")
     blank = F.trim(F.coalesce("text", F.lit("")), F.lit(" \t\r\n\v\f")) == ""
-    after = line_dedup.line_dedup(docs, removed_col=removed)
-    return _recounted(after.where(~blank | (F.size(removed) == 0))).select(*docs.columns)
+    after = line_dedup.line_dedup(docs, removed_col=removed, words_col=went)
+    return _recounted(after.where(~blank | ((F.size(removed) == 0) & (F.col(went) == 0)))).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
