@@ -8,7 +8,7 @@ What the lines leave is searched for passages that lie in one or two lines, or t
 a line: a window of 51 words that an earlier document holds as well (least doc_id; white space is not
 compared) is covered, covered windows are merged, and their words go, each with the white space before
 it. The document that holds a passage first keeps all of it; repeats within a document are no passages.
-Windows are not hashed for all texts: each stands for the least hash of its 17-word shingles, a function
+Windows are not hashed for all texts: each stands for the least hash of its 8-word shingles, a function
 of the window, so only windows whose least hash another document has too can repeat; few texts are
 read again for them, and nothing is missed.
 
@@ -25,7 +25,7 @@ their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from linkforge.llm.common import cut, join_small, pieces, stored, text_or_empty
-from linkforge.llm.shingles import mix, runs, word_hashes
+from linkforge.llm.shingles import runs, word_hashes
 
 WINDOW = 3
 #: Words of the shortest passage.
 PASSAGE = 51
+#: Words of short texts that are hashed together.
+BLOCK = 100_000
 #: Ids of documents are broadcast up to this many rows.
 SMALL = 300_000
 WORD = re.compile(r"[^ \t-\r]+")
@@ -87,10 +89,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def least_hashes(hashes: np.ndarray, words: int = PASSAGE) -> np.ndarray:
-    """For each window of ``words`` the least hash of its shingles of a third of them."""
+    """For each window of ``words`` the least hash of its shingles of a sixth of them."""
     if len(hashes) < words:
         return np.empty(0, np.uint64)
-    shingle = max(1, words // 3)
+    shingle = max(1, words // 6)
     least, have, want = runs(hashes, shingle), 1, words - shingle + 1
     while have < want:
         step = min(have, want - have)
@@ -98,47 +100,80 @@ def least_hashes(hashes: np.ndarray, words: int = PASSAGE) -> np.ndarray:
     return least
 
 
+def _windows_of(texts: Iterable[str], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the text, place, sign, hash of the words) of each window, for many short texts or a long one at a time."""
+    held, count = [], 0
+    texts = list(texts)
+    for n, text in enumerate(texts):
+        held.append((n, word_hashes(text)))
+        count += len(held[-1][1])
+        if count < BLOCK and n + 1 < len(texts):
+            continue
+        sizes = [len(h) for _, h in held]
+        hashes, owner = np.concatenate([h for _, h in held]), np.repeat([n for n, _ in held], sizes)
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        if len(hashes) >= words:
+            whole = owner[: len(hashes) - words + 1] == owner[words - 1 :]
+            yield owner[: len(whole)][whole], place[: len(whole)][whole], least_hashes(hashes, words)[whole].view(np.int64), runs(hashes, words)[whole].view(np.int64)
+        held, count = [], 0
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where one of the columns changes, and the first place."""
+    if not len(columns[0]):
+        return np.empty(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+
+
 def _signs(texts: DataFrame, words: int) -> DataFrame:
-    """(doc, sign): the distinct least hashes of each text."""
+    """(doc, sign): the least hashes of each text's windows, one for each run of windows that share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            own = [np.unique(least_hashes(word_hashes(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
-            docs = np.repeat(batch.column(0).to_numpy(), [len(x) for x in own])
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(np.concatenate(own), pa.int64())], ["doc", "sign"])
+            docs = batch.column(0).to_numpy()
+            for owner, _, sign, _ in _windows_of(batch.column(1).to_pylist(), words):
+                at = _starts(owner, sign)
+                yield pa.RecordBatch.from_arrays([pa.array(docs[owner[at]], pa.int64()), pa.array(sign[at], pa.int64())], ["doc", "sign"])
 
     return texts.mapInArrow(run, "doc long, sign long")
 
 
 def _passages(texts: DataFrame, words: int) -> DataFrame:
-    """(id, mark, at, h1, h2) of the windows whose least hash is among the text's ``signs``; places in words."""
+    """(id, mark, sign, at, hashes): runs of windows of one sign that is among the text's ``signs``; places in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            for doc, mark, text, signs in zip(*batch.columns, strict=True):
-                hashes = word_hashes(text.as_py())
-                at = np.flatnonzero(np.isin(least_hashes(hashes, words).view(np.int64), np.array(signs.as_py(), np.int64)))
-                if not len(at):
-                    continue
-                both = [runs(x, words)[at].view(np.int64) for x in (hashes, mix(hashes, 1))]
-                kinds = [pa.array([x.as_py()] * len(at), pa.int64()) for x in (doc, mark)]
-                yield pa.RecordBatch.from_arrays([*kinds, pa.array(at, pa.int32()), *[pa.array(x, pa.int64()) for x in both]], ["id", "mark", "at", "h1", "h2"])
+            known = np.unique(batch.column(3).flatten().to_numpy())  # all held by two texts at least, so any text's will do
+            for owner, place, sign, own in _windows_of(batch.column(2).to_pylist(), words):
+                kept = np.flatnonzero(np.isin(sign, known))
+                owner, place, sign, own = owner[kept], place[kept], sign[kept], own[kept]
+                at = _starts(owner, sign, place - np.arange(len(place)))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(own)), pa.int32()), pa.array(own, pa.int64()))
+                whose = pa.array(owner[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(sign[at], pa.int64()), pa.array(place[at], pa.int32()), lists], ["id", "mark", "sign", "at", "hashes"])
 
-    return texts.mapInArrow(run, "id long, mark long, at int, h1 long, h2 long")
+    return texts.mapInArrow(run, "id long, mark long, sign long, at int, hashes array<long>")
 
 
 def repeated_passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too."""
+    """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too.
+
+    Equal runs of windows are one class before their windows are told apart.
+    """
     doc = F.xxhash64("id", "mark").alias("doc")
     signs = stored(_signs(texts.select(doc, "text"), words))
     met = signs.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("sign")
     lists = cut(signs.join(met, "sign").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
     few = join_small(texts.select("id", "mark", "text", doc), lists.select("doc"), ["doc"], "left_semi", lists.count(), SMALL)
-    found = cut(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words))
+    found = stored(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words)).withColumn("class", F.xxhash64("hashes"))
     holder = F.struct("id", "mark")
-    again = found.groupBy("h1", "h2").agg(F.min(holder).alias("least"), F.max(holder).alias("most")).where("least <> most").select("h1", "h2", "least")
-    later = found.join(again, ["h1", "h2"]).where(F.col("least") != holder)
-    return later.groupBy("id", "mark").agg(F.collect_set("at").alias("starts"))
+    classes = cut(found.groupBy("sign", "class").agg(F.min(holder).alias("least"), F.max(holder).alias("most"), F.max("hashes").alias("hashes")))
+    windows = classes.select("sign", "class", "least", "most", F.posexplode("hashes").alias("k", "hash"))
+    first = windows.groupBy("sign", "hash").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first <> last").select("sign", "hash", "first")
+    owned = windows.join(first, ["sign", "hash"]).groupBy("sign", "class").agg(F.collect_list(F.struct("k", "first")).alias("owned"))
+    later = F.filter("owned", lambda x: x["first"] != F.struct("id", "mark"))
+    starts = found.drop("hashes").join(owned, ["sign", "class"]).select("id", "mark", F.transform(later, lambda x: x["k"] + F.col("at")).alias("starts"))
+    return starts.where(F.size("starts") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def without(text: str, starts: list[int], words: int = PASSAGE) -> tuple[str, int]:
