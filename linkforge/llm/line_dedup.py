@@ -158,19 +158,20 @@ def _passages(texts: DataFrame, words: int) -> DataFrame:
 def repeated_passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
     """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too.
 
-    Equal runs of windows are one class before their windows are told apart.
+    Equal runs of windows are one class before their windows are told apart. Lists are gathered from plain
+    rows, for a list of one is larger than its row; each is bounded by its text or run.
     """
     doc = F.xxhash64("id", "mark").alias("doc")
     signs = stored(_signs(texts.select(doc, "text"), words))
     met = signs.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("sign")
-    lists = cut(signs.join(met, "sign").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
+    lists = cut(signs.join(met, "sign").repartition("doc").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
     few = join_small(texts.select("id", "mark", "text", doc), lists.select("doc"), ["doc"], "left_semi", lists.count(), SMALL)
     found = stored(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words)).withColumn("class", F.xxhash64("hashes"))
     holder = F.struct("id", "mark")
-    classes = cut(found.groupBy("sign", "class").agg(F.min(holder).alias("least"), F.max(holder).alias("most"), F.max("hashes").alias("hashes")))
-    windows = classes.select("sign", "class", "least", "most", F.posexplode("hashes").alias("k", "hash"))
-    first = windows.groupBy("sign", "hash").agg(F.min("least").alias("first"), F.max("most").alias("last")).where("first <> last").select("sign", "hash", "first")
-    owned = windows.join(first, ["sign", "hash"]).groupBy("sign", "class").agg(F.collect_list(F.struct("k", "first")).alias("owned"))
+    classes = cut(found.groupBy("sign", "class").agg(F.min(holder).alias("least"), F.count("*").alias("times"), F.max("hashes").alias("hashes")))
+    windows = classes.select("sign", "class", "least", "times", F.posexplode("hashes").alias("k", "hash"))
+    first = windows.groupBy("sign", "hash").agg(F.min("least").alias("first"), F.sum("times").alias("times")).where("times > 1").select("sign", "hash", "first")
+    owned = windows.select("sign", "class", "k", "hash").join(first, ["sign", "hash"]).select("sign", "class", "k", "first").repartition("sign", "class").groupBy("sign", "class").agg(F.collect_list(F.struct("k", "first")).alias("owned"))
     later = F.filter("owned", lambda x: x["first"] != F.struct("id", "mark"))
     starts = found.drop("hashes").join(owned, ["sign", "class"]).select("id", "mark", F.transform(later, lambda x: x["k"] + F.col("at")).alias("starts"))
     return starts.where(F.size("starts") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
