@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,9 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A place in the shared folder for tables of ``stored`` that are deleted at the end; what is returned must not read them any more."""
+    path = os.path.join(folder(spark), f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield path
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, within: str | None = None) -> DataFrame:
     """Cut lineage with a table in the shared folder, smaller than a checkpoint; columns without a type are nulls again."""
-    path = os.path.join(folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    path = os.path.join(within or folder(df.sparkSession), f"table-{uuid.uuid4().hex}")
     typed = [f.name for f in df.schema if f.dataType.typeName() != "void"]
     df.select(*typed).write.parquet(path)
     back = df.sparkSession.read.schema(df.select(*typed).schema).parquet(path)

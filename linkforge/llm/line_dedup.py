@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from linkforge.llm.common import cut, join_small, pieces, stored, text_or_empty
+from linkforge.llm.common import cut, join_small, pieces, scratch, stored, text_or_empty
 from linkforge.llm.shingles import runs, word_hashes
 
 WINDOW = 3
@@ -43,8 +43,8 @@ WINDOW = 3
 PASSAGE = 51
 #: Words of short texts that are hashed together.
 BLOCK = 100_000
-#: Ids of documents are broadcast up to this many rows.
-SMALL = 300_000
+#: Lists are broadcast up to this many rows, ids of documents alone up to so many.
+SMALL, IDS = 300_000, 2_000_000
 WORD = re.compile(r"[^ \t-\r]+")
 #: A line of these alone is blank.
 BLANK = " \t\r\v\f"
@@ -77,15 +77,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, mark, covered): the lines, from 0, that later occurrences of windows cover; ``mark`` is xxhash64 of the text."""
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("mark"), text.alias("text"))
-    found = cut(_windows(rows.where("instr(text, '\n') > 0"), width))
     place = F.struct("id", "mark", "first")
-    again = found.groupBy("h1", "h2").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("h1", "h2", "least")
-    later = found.join(again, ["h1", "h2"]).where(F.col("least") != place)
-    return (
-        later.select("id", "mark", F.explode(F.sequence("first", "last")).alias("line"))
-        .groupBy("id", "mark")
-        .agg(F.sort_array(F.collect_set("line")).alias("covered"))
-    )
+    with scratch(docs.sparkSession) as within:
+        found = stored(_windows(rows.where("instr(text, '\n') > 0"), width), within)
+        often = cut(found.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2"))
+        many = often.count()
+        met = stored(join_small(found, often, ["h1", "h2"], "inner", many, SMALL), within)
+        least = met.groupBy("h1", "h2").agg(F.min(place).alias("least"))
+        later = join_small(met, least, ["h1", "h2"], "inner", many, SMALL).where(F.col("least") != place)
+        return cut(
+            later.select("id", "mark", F.explode(F.sequence("first", "last")).alias("line"))
+            .groupBy("id", "mark")
+            .agg(F.sort_array(F.collect_set("line")).alias("covered"))
+        )
 
 
 def least_hashes(hashes: np.ndarray, words: int = PASSAGE) -> np.ndarray:
@@ -156,25 +160,27 @@ def _passages(texts: DataFrame, words: int) -> DataFrame:
 
 
 def repeated_passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too.
+    """(id, mark, starts) from (id, mark, text): places, in words, of windows that an earlier document holds too. Reads ``texts`` twice.
 
     Equal runs of windows are one class before their windows are told apart. Lists are gathered from plain
     rows, for a list of one is larger than its row; each is bounded by its text or run.
     """
     doc = F.xxhash64("id", "mark").alias("doc")
-    signs = stored(_signs(texts.select(doc, "text"), words))
-    met = signs.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("sign")
-    lists = cut(signs.join(met, "sign").repartition("doc").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
-    few = join_small(texts.select("id", "mark", "text", doc), lists.select("doc"), ["doc"], "left_semi", lists.count(), SMALL)
-    found = stored(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words)).withColumn("class", F.xxhash64("hashes"))
-    holder = F.struct("id", "mark")
-    classes = cut(found.groupBy("sign", "class").agg(F.min(holder).alias("least"), F.count("*").alias("times"), F.max("hashes").alias("hashes")))
-    windows = classes.select("sign", "class", "least", "times", F.posexplode("hashes").alias("k", "hash"))
-    first = windows.groupBy("sign", "hash").agg(F.min("least").alias("first"), F.sum("times").alias("times")).where("times > 1").select("sign", "hash", "first")
-    owned = windows.select("sign", "class", "k", "hash").join(first, ["sign", "hash"]).select("sign", "class", "k", "first").repartition("sign", "class").groupBy("sign", "class").agg(F.collect_list(F.struct("k", "first")).alias("owned"))
-    later = F.filter("owned", lambda x: x["first"] != F.struct("id", "mark"))
-    starts = found.drop("hashes").join(owned, ["sign", "class"]).select("id", "mark", F.transform(later, lambda x: x["k"] + F.col("at")).alias("starts"))
-    return starts.where(F.size("starts") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    with scratch(texts.sparkSession) as within:
+        signs = stored(_signs(texts.select(doc, "text"), words), within)
+        met = cut(signs.groupBy("sign").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("sign"))
+        own = join_small(signs, met, ["sign"], "inner", met.count(), SMALL)
+        lists = cut(own.repartition("doc").groupBy("doc").agg(F.collect_set("sign").alias("signs")))
+        few = join_small(texts.select("id", "mark", "text", doc), lists.select("doc"), ["doc"], "left_semi", lists.count(), IDS)
+        found = stored(_passages(few.join(lists, "doc").select("id", "mark", "text", "signs"), words), within).withColumn("class", F.xxhash64("hashes"))
+        holder = F.struct("id", "mark")
+        classes = cut(found.groupBy("sign", "class").agg(F.min(holder).alias("least"), F.count("*").alias("times"), F.max("hashes").alias("hashes")))
+        windows = classes.select("sign", "class", "least", "times", F.posexplode("hashes").alias("k", "hash"))
+        first = windows.groupBy("sign", "hash").agg(F.min("least").alias("first"), F.sum("times").alias("times")).where("times > 1").select("sign", "hash", "first")
+        owned = windows.select("sign", "class", "k", "hash").join(first, ["sign", "hash"]).select("sign", "class", "k", "first").repartition("sign", "class").groupBy("sign", "class").agg(F.collect_list(F.struct("k", "first")).alias("owned"))
+        later = F.filter("owned", lambda x: x["first"] != F.struct("id", "mark"))
+        starts = found.drop("hashes").join(owned, ["sign", "class"]).select("id", "mark", F.transform(later, lambda x: x["k"] + F.col("at")).alias("starts"))
+        return cut(starts.where(F.size("starts") > 0).groupBy("id", "mark").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")))
 
 
 def without(text: str, starts: list[int], words: int = PASSAGE) -> tuple[str, int]:
@@ -196,16 +202,32 @@ def _without(text: Column, starts: Column, words: int) -> Column:
     return run(text, starts)
 
 
-def _line_cut(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(row, id, mark, covered, text): the rows, their covered lines (null: none) and what is left of their texts."""
-    columns = docs.columns
-    whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("row"), docs[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("mark"))
-    covered = repeated_lines(docs, id_col, text_col, width).select(F.col("id").alias("of"), F.col("mark").alias("as"), "covered")
-    both = whole.join(covered, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left")
-    lines = F.split(F.col("row")[text_col], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    text = F.when(F.col("covered").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
-    return both.withColumn("lines", F.when(F.col("covered").isNotNull(), lines)).select("row", "id", "mark", "covered", text.cast("string").alias("text"))
+def _parted(rows: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (id, mark, ...) that have no list, and those that have one with its ``column``.
+
+    Rows are told apart by broadcast ids first, so that only rows with a list are shuffled, if any. Of
+    more ids than may be broadcast all rows are shuffled, once, and kept with their lists.
+    """
+    n, doc = lists.count(), F.xxhash64("id", "mark").alias("doc")
+    own = lists.select(F.col("id").alias("of"), F.col("mark").alias("as"), column)
+    own = F.broadcast(own) if n <= SMALL else own
+    beside = lambda df: df.join(own, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left").drop("doc", "of", "as")
+    if n > IDS:
+        both = stored(beside(rows.select("*", doc)))
+        return both.where(F.col(column).isNull()).drop(column), both.where(F.col(column).isNotNull())
+    keyed, of = rows.select("*", doc), F.broadcast(lists.select(doc))
+    return keyed.join(of, "doc", "left_anti").drop("doc"), beside(keyed.join(of, "doc", "left_semi"))
+
+
+def _line_cut(rows: DataFrame, covered: DataFrame) -> DataFrame:
+    """``rows`` (id, mark, text, ...) with their covered lines (empty: none) and what is left of their texts."""
+    same, hit = _parted(rows, covered, "covered")
+    none = F.array().cast("array<int>")
+    lines = F.split("text", "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
+    text = F.when(F.col("covered").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    hit = stored(hit.withColumn("lines", lines).withColumn("text", text).withColumn("covered", F.coalesce("covered", none)).drop("lines"))
+    return same.withColumn("covered", none).unionByName(hit)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, removed_col: str | None = None, words: int | None = PASSAGE, words_col: str | None = None) -> DataFrame:
@@ -215,22 +237,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     went as passages, each replacing a column of that name.
     """
     columns = docs.columns
-    rest = _line_cut(docs, id_col, text_col, width)
-    fields = [F.col("row")[c].alias(f"c{i}") for i, c in enumerate(columns) if c != text_col]
-    rest = rest.select("id", "mark", "text", F.coalesce("covered", F.array().cast("array<int>")).alias("covered"), *fields)
+    fields = [docs[c].alias(f"c{i}") for i, c in enumerate(columns) if c != text_col]
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(text_or_empty(text_col)).alias("mark"), docs[text_col].cast("string").alias("text"), *fields)
+    rest = _line_cut(rows, repeated_lines(docs, id_col, text_col, width))
     none = F.lit(0).cast("long")
     if words is None:
         rest = rest.withColumn("went", none)
     else:
-        rest = stored(rest)
-        passages = cut(repeated_passages(rest.where(F.length("text") >= 2 * words - 1).select("id", "mark", "text"), words))
-        doc, rows = F.xxhash64("id", "mark").alias("doc"), passages.count()
-        keyed, of = rest.select("*", doc), passages.select(doc)
-        same = join_small(keyed, of, ["doc"], "left_anti", rows, SMALL).withColumn("went", none).drop("doc")
-        own = passages.select(F.col("id").alias("of"), F.col("mark").alias("as"), "starts")
-        hit = join_small(keyed, of, ["doc"], "left_semi", rows, SMALL).join(own, F.col("id").eqNullSafe(F.col("of")) & (F.col("mark") == F.col("as")), "left")
+        passages = repeated_passages(rest.where(F.length("text") >= 2 * words - 1).select("id", "mark", "text"), words)
+        same, hit = _parted(rest, passages, "starts")
         after = hit.withColumn("after", _without(F.col("text"), F.coalesce("starts", F.array().cast("array<int>")), words))
-        rest = same.unionByName(after.withColumn("text", F.col("after.text")).withColumn("went", F.col("after.words")).drop("doc", "of", "as", "starts", "after"))
+        rest = same.withColumn("went", none).unionByName(after.withColumn("text", F.col("after.text")).withColumn("went", F.col("after.words")).drop("starts", "after"))
     out = []
     for i, c in enumerate(columns):
         if c not in (removed_col, words_col):

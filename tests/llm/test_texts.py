@@ -1,6 +1,7 @@
 """Text operators against the public libraries, brute force and literal cases."""
 
 import itertools
+import pathlib
 import random
 import time
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkforge.llm import bpe, line_dedup, ngram_join, packing, secret_scans, sentencepiece_codec, shingles, token_counts, toxicity, url_filter
+from linkforge.llm import bpe, common, line_dedup, ngram_join, packing, secret_scans, sentencepiece_codec, shingles, token_counts, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n\n", "a", "x" * 3000, "tab\there  two   spaces \n\n end ", "naïve café ñandú 你好 🙂🙂 \u2581x", "it's we'll I'VE 123456789 !!??--", "<|endoftext|> a<|endoftext|><|endoftext|>b", "\u00a0\u2003 \x85 x", "zzz " * 20000]
@@ -376,6 +377,33 @@ def test_passages(spark):
     assert line_dedup.line_dedup(twice, words=None).count() == 4
 
 
+def test_line_dedup_leaves_few_tables_and_shuffles_no_text(spark):
+    """Tables of windows are deleted, the one kept holds cut texts."""
+    same = "a b c\nd e f\ng h i\n"
+    own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
+    df = table(spark, [same + own[0], same + own[1], "x " + own[0], own[2]])
+    folder = pathlib.Path(common.folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    got = line_dedup.line_dedup(df, words_col="went")
+    left = [p for p in folder.iterdir() if p not in before and p.name.startswith(("table-", "scratch-"))]
+    assert [spark.read.parquet(str(p)).select("text").collect() for p in left] == [[(own[1],)]]
+    plan = lambda of: of._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan(got) and "hashpartitioning" not in plan(got)
+    assert sorted((r.doc_id, r.text, r.went) for r in got.collect()) == [(0, same + own[0], 0), (1, own[1], 0), (2, "x", 60), (3, own[2], 0)]
+
+
+def test_line_dedup_by_shuffles(spark, monkeypatch):
+    """The same where no list may be broadcast."""
+    r = random.Random(3)
+    prose = lambda n: [r.choice("abcdefghijklmnopq") + str(r.randrange(60)) for _ in range(n)]
+    part = prose(60)
+    texts = [*ODD, None, "", "a\nb\nc", "x\na\nb\nc", *[" ".join(prose(k) + part[k % 9 :] + prose(3)) + "\na\nb\nc" for k in range(20)]]
+    monkeypatch.setattr(line_dedup, "SMALL", -1)
+    monkeypatch.setattr(line_dedup, "IDS", -1)
+    rows = {x["doc_id"]: (x["text"], x["went"]) for x in line_dedup.line_dedup(table(spark, texts), words_col="went").collect()}
+    assert [rows[i] for i in range(len(texts))] == brute_passages(brute_lines(texts))
+
+
 def test_line_dedup(spark):
     r = random.Random(9)
     texts = [*ODD, "a\nb\nc", "x\na\nb\n\nc\ny", "a\nb\nc\na\nb\nc", "same\nsame\nsame\nsame", "a\nb\nc"]
