@@ -199,7 +199,7 @@ def _without(text: Column, starts: Column, words: int) -> Column:
     def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([without(t, list(x), words) for t, x in zip(texts, lists, strict=True)], columns=["text", "words"])
 
-    return run(text, starts)
+    return run.asNondeterministic()(text, starts)  # else a filter on what it returns runs it again, by further workers
 
 
 def _parted(rows: DataFrame, lists: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:

@@ -378,7 +378,7 @@ def test_passages(spark):
 
 
 def test_line_dedup_leaves_few_tables_and_shuffles_no_text(spark):
-    """Tables of windows are deleted, the one kept holds cut texts."""
+    """Tables of windows are deleted, the one kept holds cut texts alone; a filter on the words cut runs no second worker."""
     same = "a b c\nd e f\ng h i\n"
     own = [" ".join(f"w{k}x{i}" for i in range(60)) for k in range(3)]
     df = table(spark, [same + own[0], same + own[1], "x " + own[0], own[2]])
@@ -389,6 +389,7 @@ def test_line_dedup_leaves_few_tables_and_shuffles_no_text(spark):
     assert [spark.read.parquet(str(p)).select("text").collect() for p in left] == [[(own[1],)]]
     plan = lambda of: of._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan(got) and "hashpartitioning" not in plan(got)
+    assert plan(got.where("went = 0 or text <> ''")).count("ArrowEvalPython") == plan(got).count("ArrowEvalPython") > 0
     assert sorted((r.doc_id, r.text, r.went) for r in got.collect()) == [(0, same + own[0], 0), (1, own[1], 0), (2, "x", 60), (3, own[2], 0)]
 
 
