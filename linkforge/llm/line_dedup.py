@@ -25,11 +25,12 @@ their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,8 @@ from linkforge.llm.shingles import runs, word_hashes
 WINDOW = 3
 #: Words of the shortest passage.
 PASSAGE = 51
-#: Words of short texts that are hashed together.
-BLOCK = 100_000
+#: Bytes of short texts that are hashed together.
+BLOCK = 500_000
 #: Lists are broadcast up to this many rows, ids of documents alone up to so many.
 SMALL, IDS = 300_000, 2_000_000
 WORD = re.compile(r"[^ \t-\r]+")
@@ -104,29 +105,22 @@ def least_hashes(hashes: np.ndarray, words: int = PASSAGE) -> np.ndarray:
     return least
 
 
-def _windows_of(texts: Iterable[str], words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the text, place, sign, hash of the words) of each window, for many short texts or a long one at a time."""
-    held, count = [], 0
-    texts = list(texts)
-    for n, text in enumerate(texts):
-        held.append((n, word_hashes(text)))
-        count += len(held[-1][1])
-        if count < BLOCK and n + 1 < len(texts):
-            continue
-        sizes = [len(h) for _, h in held]
-        hashes, owner = np.concatenate([h for _, h in held]), np.repeat([n for n, _ in held], sizes)
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+def _runs_of(texts: pa.Array, words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of each run of a text's windows that share a sign: number of the text, place, windows, sign and its first word among ``hashes``, which come last; for many short texts or a long one at a time."""
+    ends, at = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)), 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, BLOCK + (ends[at - 1] if at else 0), "right")))
+        hashes, begin = word_hashes(texts.slice(at, upto - at))
         if len(hashes) >= words:
-            whole = owner[: len(hashes) - words + 1] == owner[words - 1 :]
-            yield owner[: len(whole)][whole], place[: len(whole)][whole], least_hashes(hashes, words)[whole].view(np.int64), runs(hashes, words)[whole].view(np.int64)
-        held, count = [], 0
-
-
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where one of the columns changes, and the first place."""
-    if not len(columns[0]):
-        return np.empty(0, np.int64)
-    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
+            sign = least_hashes(hashes, words)
+            owner = np.repeat(np.arange(upto - at), np.diff(begin))
+            whole = owner[: len(sign)] == owner[words - 1 :]
+            owner = owner[: len(sign)]
+            change = np.flatnonzero((sign[1:] != sign[:-1]) | (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1])) + 1
+            first = np.append(0, change)
+            many, first = (x[whole[first]] for x in (np.diff(np.append(first, len(sign))), first))
+            yield owner[first] + at, first - begin[owner[first]], many, sign[first].view(np.int64), first, hashes
+        at = upto
 
 
 def _signs(texts: DataFrame, words: int) -> DataFrame:
@@ -134,10 +128,8 @@ def _signs(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            docs = batch.column(0).to_numpy()
-            for owner, _, sign, _ in _windows_of(batch.column(1).to_pylist(), words):
-                at = _starts(owner, sign)
-                yield pa.RecordBatch.from_arrays([pa.array(docs[owner[at]], pa.int64()), pa.array(sign[at], pa.int64())], ["doc", "sign"])
+            for owner, _, _, sign, _, _ in _runs_of(batch.column(1), words):
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(sign)], ["doc", "sign"])
 
     return texts.mapInArrow(run, "doc long, sign long")
 
@@ -148,13 +140,14 @@ def _passages(texts: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             known = np.unique(batch.column(3).flatten().to_numpy())  # all held by two texts at least, so any text's will do
-            for owner, place, sign, own in _windows_of(batch.column(2).to_pylist(), words):
+            for owner, place, many, sign, first, hashes in _runs_of(batch.column(2), words):
                 kept = np.flatnonzero(np.isin(sign, known))
-                owner, place, sign, own = owner[kept], place[kept], sign[kept], own[kept]
-                at = _starts(owner, sign, place - np.arange(len(place)))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(own)), pa.int32()), pa.array(own, pa.int64()))
-                whose = pa.array(owner[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(sign[at], pa.int64()), pa.array(place[at], pa.int32()), lists], ["id", "mark", "sign", "at", "hashes"])
+                owner, place, many, sign, first = owner[kept], place[kept], many[kept], sign[kept], first[kept]
+                ends = np.cumsum(many)
+                own = runs(hashes, words)[np.arange(many.sum()) + np.repeat(first - ends + many, many)].view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(own))
+                whose = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(whose), batch.column(1).take(whose), pa.array(sign), pa.array(place, pa.int32()), lists], ["id", "mark", "sign", "at", "hashes"])
 
     return texts.mapInArrow(run, "id long, mark long, sign long, at int, hashes array<long>")
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 U = np.uint64
@@ -10,6 +12,10 @@ _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
 _ODD = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 WORD_ENTRIES = 150_000
+#: Bytes of a word beyond which it is hashed by itself.
+LONG = 64
+#: The lowest bytes of a number, by how many.
+_LOW = np.array([2 ** (8 * k) - 1 for k in range(9)], U)
 
 
 class WordHashes(dict):
@@ -56,20 +62,59 @@ def shingle_set(text: str, width: int) -> np.ndarray:
         return np.unique(mix(value))
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """The hash of each word, as it is written."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(_words.__getitem__, words), U, len(words))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of the texts, as it is written, and where each text's words begin among them, with their number.
+
+    Words are cut and hashed by eight bytes at once from the texts' own buffer; a word of up to eight
+    bytes goes in whole, a long one by its xxhash64.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    n, at = int(at[-1] - at[0]), at - at[0]
+    if not n:
+        return np.empty(0, U), np.zeros(len(texts) + 1, np.int64)
+    padded = np.zeros((n // 8 + 3) * 8, np.uint8)
+    padded[:n] = np.frombuffer(texts.buffers()[2], np.uint8)[int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset]) :][:n]
+    data = padded[:n]
+    full = (data != 32) & (data - np.uint8(9) > 4)  # else white space: 9 to 13 and 32
+    edge = np.ones(n + 1, bool)  # whether a word would begin or end before this byte
+    np.logical_not(full[:-1] & full[1:], out=edge[1:-1])
+    edge[at] = True
+    start, end = np.flatnonzero(full & edge[:-1]), np.flatnonzero(full & edge[1:]) + 1
+    size, eights = end - start, padded.view("<u8")
+    out, part, begin, left = (size.astype(U) + U(1)) * _ODD[4], slice(None), start, size
+    long = np.flatnonzero(size > LONG)
+    with np.errstate(over="ignore"):
+        while len(begin):
+            word, shift = begin >> 3, (begin.astype(U) & U(7)) << U(3)
+            value = (eights[word] >> shift) | ((eights[word + 1] << (U(56) - shift)) << U(8))
+            out[part] = mix(out[part] + (value & _LOW[np.minimum(left, 8)]))
+            more = np.flatnonzero((left > 8) & (left <= LONG))
+            part = more if isinstance(part, slice) else part[more]
+            begin, left = begin[more] + 8, left[more] - 8
+    for i in long:
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return out, np.searchsorted(start, at)
+
+
+_powers = [np.ones(1, U), np.ones(1, U)]
 
 
 def runs(hashes: np.ndarray, width: int) -> np.ndarray:
-    """A hash of each run of ``width`` words."""
+    """A hash of each run of ``width`` words, from sums over powers of an odd number."""
     n = max(0, len(hashes) - width + 1)
-    value = np.zeros(n, U)
+    if not n:
+        return np.empty(0, U)
     with np.errstate(over="ignore"):
-        for i in range(width):
-            value += hashes[i : i + n] * _ODD[i % 4] * U(2 * (i // 4) + 1)
-    return mix(value)
+        if len(_powers[0]) < len(hashes):
+            for k, x in enumerate((_ODD[3], U(pow(int(_ODD[3]), -1, 2**64)))):
+                own = np.full(len(hashes), x, U)
+                own[0] = 1
+                _powers[k] = np.cumprod(own)
+        sums = np.cumsum(hashes * _powers[0][: len(hashes)], dtype=U)
+        value = sums[width - 1 :].copy()
+        value[1:] -= sums[: n - 1]
+        return mix(value * _powers[1][:n])
 
 
 def parities(columns: np.ndarray) -> bytes:

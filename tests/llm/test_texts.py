@@ -7,7 +7,9 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from linkforge.llm import bpe, common, line_dedup, ngram_join, packing, secret_scans, sentencepiece_codec, shingles, token_counts, toxicity, url_filter
@@ -377,6 +379,36 @@ def test_passages(spark):
     assert line_dedup.line_dedup(twice, words=None).count() == 4
 
 
+def test_word_hashes():
+    """Words of whole columns, sliced ones too, are those of ``split``; only equal words get equal hashes; no word costs a call of its own."""
+    rng = random.Random(3)
+    odd = ["", None, " ", "a", "\t\n", "x" * 200 + " y " + "x" * 201, "é b \x0bz\x0c", "a\x00 a\x00\x00 a", "1234567 12345678 123456789 " + "q" * 64 + " " + "q" * 65]
+    odd += ["".join(rng.choice("ab \n\x85é\x1f") for _ in range(rng.randrange(40))) for _ in range(500)]
+    for column in (pa.array(odd), pa.array(odd).slice(3), pa.array(odd, pa.large_string()), pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        words = [(x or "").encode().split() for x in column.to_pylist()]
+        hashes, begin = shingles.word_hashes(column)
+        assert begin.tolist() == list(itertools.accumulate(map(len, words), initial=0))
+        pairs = set(zip(itertools.chain(*words), hashes.tolist(), strict=True))
+        assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+        for width in (1, 7):
+            own = {}
+            for k, h in enumerate(shingles.runs(hashes, width).tolist()):
+                own.setdefault(tuple(hashes[k : k + width].tolist()), set()).add(h)
+            assert all(len(v) == 1 for v in own.values()) and len(set().union(*own.values())) == len(own)
+    many = pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(500)) for _ in range(600)])
+    texts = many.to_pylist()
+
+    def cost(run):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            run()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert cost(lambda: shingles.word_hashes(many)) < cost(lambda: [[xxhash.xxh64_intdigest(w) for w in t.encode().split()] for t in texts])
+
+
 def test_line_dedup_leaves_few_tables_and_shuffles_no_text(spark):
     """Tables of windows are deleted, the one kept holds cut texts alone; a filter on the words cut runs no second worker."""
     same = "a b c\nd e f\ng h i\n"
