@@ -1,13 +1,16 @@
 """Features, learned operators, enrichment, validation and files on small tables, against brute force or literal cases."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linkforge.operators import blocking, enrich, features, learn, report, validate
+from linkforge.operators import blocking, enrich, features, learn, report, validate, whole_texts
 from linkforge.plans import catalogue
 from linkforge.sources import tables
 
@@ -76,6 +79,59 @@ def test_pairs_of_a_block_meet_in_one_task(spark, monkeypatch):
     assert blocking.retrieve(r.where("src = 1")).count() == 0 and blocking.retrieve(r.where("src <> 1")).count() == 0
 
 
+def test_every_token_of_a_text_is_a_key(spark, tmp_path):
+    """Two texts share words beyond the first 6 of the name and the first 10 of the rest only."""
+    said = lambda k, name, rest: " ".join(f"n{k}x{i}q" for i in range(name)) + " zebra\n" + " ".join(f"a{k}x{i}q" for i in range(rest)) + " yak gnu"
+    docs = [(0, said(0, 8, 300), "en"), (1, said(1, 7, 12), "en"), (2, said(2, 9, 40), "fr"), (4, said(4, 3, 3).replace("yak gnu", "").replace("zebra", ""), "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(x) for x in catalogue.blocking_scores(spark, str(tmp_path)).collect()]
+    w = math.log1p(2)  # one of two targets: zebra; yak, gnu and both; zebra with yak and with gnu
+    assert got == [(2, "S1-0", "S2-1", pytest.approx(w, abs=1e-6), pytest.approx(3 * w, abs=1e-6), pytest.approx(2 * w, abs=1e-6), pytest.approx(6 * w, abs=3e-6))]
+    assert catalogue.retrieve_union3(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("cap", [2, 3000])
+def test_whole_texts_are_summed_as_by_joins(spark, monkeypatch, cap):
+    """With a cap that bites, several blocks, repeated ids, no country and no tokens; neither pairs nor keys of pairs are shuffled."""
+    monkeypatch.setattr(blocking, "HOT", 16)
+    monkeypatch.setattr(whole_texts, "LEAST", 3)
+    r = catalogue.records(spark, SF).drop("body").where("doc_id < 60").select("id", "src", "country", "core", F.substring("addr", 1, 500).alias("addr"), "state")
+    odd = spark.createDataFrame([("S1-x", 1, None, "acme tools", "7 main", ""), ("S2-x", 2, None, "acme tools", "7 main", ""), ("S1-y", 1, "", "", "", ""), ("S2-y", 2, "Z", "acme", "", ""), ("S1-z", 1, "W", "acme", "", "")], "id string, src int, country string, core string, addr string, state string")
+    r = r.union(r.where("id like '%7'")).union(odd).persist()
+    keys = blocking.postings(r, None, None)
+    targets = keys.where("src <> 1")
+    want = blocking.scores(keys.where("src = 1"), targets, blocking.key_stats(targets, r.where("src <> 1"), cap))
+    got = whole_texts.pair_scores(r, cap)
+    rows = lambda df: {(x["country"], x["src"], x["s1"], x["t"]): (x["s_name"], x["s_addr"], x["s_cross"]) for x in df.collect()}
+    a, b = rows(got), rows(want)
+    assert len(a) > 100 and a.keys() == b.keys() and all(x == pytest.approx(y, abs=2e-6) for k in a for x, y in zip(a[k], b[k], strict=True))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(land" in plan and not re.search(r"hashpartitioning\([^)]*\b(s1|key|h)#", plan)
+
+
+@pytest.mark.parametrize("share, common, pairs", [(2, 3, 7), (2, 100, 50), (10**6, 100, 3), (1, 0, 10**6)])
+def test_sums_of_common_and_rare_tokens(monkeypatch, share, common, pairs):
+    """Whatever is summed by matrices or one by one, in whichever parts, gives the sums of all keys."""
+    for name, value in {"SHARE": share, "COMMON": common, "PAIRS": pairs, "SLICE": 5}.items():
+        monkeypatch.setattr(whole_texts, name, value)
+    some, cap = random.Random(5), 9
+    pick = lambda most: sorted({int(some.random() ** 3 * 20) for _ in range(some.randrange(most))})
+    made = [(f"t{k}", pick(6), pick(9)) for k in range(23)]
+    batch = lambda rows: [pa.RecordBatch.from_pydict({"id": [x[0] for x in rows], "n": [x[1] for x in rows], "a": [x[2] for x in rows], "c": [[hash(tuple(x[1]))] * bool(x[1]) for x in rows]}, pa.schema([("id", pa.string()), *((c, pa.list_(pa.int64())) for c in "nac")]))]
+    index = whole_texts._Index(whole_texts._Rows(batch(made)), cap)
+
+    def keys(n, a):
+        return {0: {("c", *n)} - {("c",)} | {(x, y) for x in n for y in n if x <= y}, 1: {(x, y) for x in a for y in a if x <= y}, 2: {(x, y) for x in n for y in a}}
+
+    of = [keys(n, a) for _, n, a in made]
+    for _, n, a in [*made[:6], ("q", pick(9), pick(15)), ("none", [], []), ("new", [77], [78])]:
+        asked, whole = keys(n, a), np.array([hash(tuple(n))] * bool(n), np.int64)
+        got = index.sums(index.numbers([np.array(n, np.int64), np.array(a, np.int64), whole])).sum(axis=0)
+        for f in range(3):
+            df = {k: sum(k in o[f] for o in of) for k in asked[f]}
+            assert got[f] == pytest.approx([sum(math.log1p(len(of) / df[k]) for k in asked[f] & o[f] if df[k] <= cap) for o in of], abs=1e-9)
+
+
 def joined(df):
     """The columns that go into the joins of a plan."""
     out, todo = set(), [df._jdf.queryExecution().optimizedPlan()]
